@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Functions sent to workers carry this package's code with them; workers need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table, read by Spark whatever the store behind the path."""

@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common  # noqa: F401  workers need no copy of this module
+
 #: The split pattern of the byte-level vocabulary, and one that splits texts without two white spaces in a row alike
 #: but needs no look-ahead, which makes it twice as fast.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

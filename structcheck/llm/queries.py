@@ -8,10 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, sharding, winnowing
+from . import html_blocks, packing, secrets, sharding, toxicity, winnowing
 from .common import table
 
 
+def held_out(id_col: str = "doc_id"):
+    """Rows whose labels are never learnt from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = toxicity.score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), sharding.even_tree(24))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -25,6 +37,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -36,9 +53,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_sharding": op3_sharding,
         "op5_fingerprints": op5_fingerprints,
         "op6_packing": op6_packing,
+        "op8_html": op8_html,
         "op9_secrets": op9_secrets,
     }
 
