@@ -9,6 +9,7 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 #: Functions sent to workers carry this package's code with them; workers need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
@@ -61,3 +62,11 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def schema_with(df: DataFrame, **added: str | DataType) -> StructType:
+    """The schema of `df` and the columns added to it."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in added.items():
+        out = out.add(name, kind)
+    return out

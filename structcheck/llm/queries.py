@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_blocks, ngram_join, packing, secrets, sharding, toxicity, winnowing
+from . import html_blocks, licenses, ngram_join, packing, piece_lattice, pivot_index, secrets, sharding, toxicity, winnowing
 from .common import table
 
 
@@ -24,11 +24,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "text")
+    sampled = piece_lattice.digest(piece_lattice.encode(docs, path))
+    back = piece_lattice.decode(sampled, path)
+    return back.select("doc_id", "n_pieces", "ids_crc32", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("lossless"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), sharding.even_tree(24))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -37,6 +49,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    confirmed = F.filter("findings", lambda f: f["confirmed"])
+    named = F.transform(confirmed, lambda f: F.concat_ws(":", f["line"].cast("string"), f["family"]))
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_paragraphs"), F.size(confirmed).cast("long").alias("n_confirmed"), F.array_join(named, ",").alias("licenses"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -64,9 +83,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_sharding": op3_sharding,
+        "op4_neardup": op4_neardup,
         "op5_fingerprints": op5_fingerprints,
         "op6_packing": op6_packing,
+        "op7_licenses": op7_licenses,
         "op8_html": op8_html,
         "op9_secrets": op9_secrets,
         "op10_ngram_join": op10_ngram_join,
