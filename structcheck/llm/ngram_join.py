@@ -265,12 +265,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def across(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) of different components in the lists of `rows`.
 
-    `rows`: gram, lo, hi (the blocks of the task), block, node, comp, size, pos, hist, prefix. A task is the rows of one
-    (gram, lo, hi); with lo = hi pairs come from within the block, else from one block each.
+    `rows`: gram, lo, hi (the blocks of the task), block, node, comp, size, pos, hist, grams (those of the node's prefix
+    that other nodes have too, in order). A task is the rows of one (gram, lo, hi); with lo = hi pairs come from within
+    the block, else from one block each.
     """
-    cols = ["gram", "lo", "hi", "block", "node", "comp", "size", "pos", "hist", "prefix"]
+    cols = ["gram", "lo", "hi", "block", "node", "comp", "size", "pos", "hist", "grams"]
     given = rows.select(*cols).repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi")
 
+    def before(row: tuple) -> list[int]:
+        return row[9][: row[9].index(row[0])]
+
     def pairs(held: list[tuple]) -> tuple[list[int], list[int]]:
         a_side = [r for r in held if r[3] == r[1]]
         b_side = a_side if held[0][1] == held[0][2] else [r for r in held if r[3] == r[2]]
@@ -297,9 +301,9 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
             far = np.abs(hb[js] - ha[i]).sum(1)
             js = js[far * (100 + percent) <= (100 - percent) * total[js]]
             if len(js):
-                earlier = set(a_side[i][9][: pa_[i]])
+                earlier = set(before(a_side[i]))
                 for j in js:
-                    if earlier.isdisjoint(b_side[j][9][: pb[j]]):
+                    if earlier.isdisjoint(before(b_side[j])):
                         out_a.append(min(int(na[i]), int(nb[j])))
                         out_b.append(max(int(na[i]), int(nb[j])))
         return out_a, out_b
@@ -357,7 +361,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     rest = placed.join(mixed, "gram").select("gram", "node", "comp", "size", "pos", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     tiled = rest.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "size", "pos")
-    more = written(across(tiled.join(classes.select("node", "hist", "prefix"), "node"), percent).distinct(), "pairs")
+    shared = F.transform(F.sort_array(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"])
+    grams = lists.join(mixed.select("gram"), "gram", "left_semi").select("node").distinct().join(lists, "node").groupBy("node").agg(shared.alias("grams"))
+    more = written(across(tiled.join(classes.select("node", "hist"), "node").join(grams, "node"), percent).distinct(), "pairs")
     links = _links(more, docs, id_col, text_col, n, percent, classes)
     merged = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(known.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
