@@ -147,6 +147,14 @@ LABELLED = [
     (70, 0.0, 12, 0.0, 65, 0.0, 0, 0, 0, 0, 1), (45, 0.1, 70, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (16, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 1, 1.0, 70, 0.0, 0, 0, 0, 1, 1), (6, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 1, 1), (28, 0.0, 8, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (24, 0.2, 50, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
     (20, 0.9, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 4, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (10, 0.8, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0), (6, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (40, 0.7, 5, 1.0, 30, 0.6, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 5, 1.0, 0, 0, 0, 1, 0),
 ]
+#: The same texts of any length, beside neighbours of any length, by what encloses them: landmark, named, article, label.
+LABELLED += [
+    (words, 0.0, before, 0.0, after, 0.0, *where)
+    for words in (1, 3, 8, 20, 60, 250)
+    for before in (0, 2, 8, 45)
+    for after in (0, 3, 9, 50)
+    for where in ((0, 0, 1, 0, 1), (0, 1, 1, 0, 0), (1, 0, 0, 0, 0), (0, 1, 0, 0, 0), (1, 0, 1, 0, 0))
+]
 
 
 def grow(rows: list[tuple], depth: int = 8) -> tuple:
