@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -22,7 +22,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     Edges have no direction; loops, repeated edges and edges with a null end are ignored.
     """
-    now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter((F.col(u) if u == "u" else F.col("u")) != F.col("v")).distinct()
+    now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter(F.col("u") != F.col("v")).distinct()
     now = written(now, "edges")
     seen = _digest(now)
     while seen[0]:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         out = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = written(out.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        old, now = now, written(out.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        discard(old)
         before, seen = seen, _digest(now)
         if before == seen:
             break

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .components import components
 
 SEGMENT = 1 << 19
@@ -169,43 +169,43 @@ def histogram(s: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """For each row: id, fp (a digest of the set), key (64 bits of it), size, prefix, hist."""
+    """For each row: id, fp (a digest of the set), size, prefix, hist."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # as many numbers as buckets
     bits = int(math.log2(len(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, order = Shingler(n), shared.value
         for b in batches:
-            fp, key, size, prefix, hist = [], [], [], [], []
+            fp, size, prefix, hist = [], [], [], []
             for _, texts in _batches(b.column(1)):
                 for s in shingler.sets(texts):
-                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    fp.append(digest)
-                    key.append(int.from_bytes(digest[:8], "little", signed=True))
+                    fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     size.append(len(s))
                     rare = s[np.lexsort((s, order[(s >> np.uint64(64 - bits)).astype(np.int64)]))] if len(s) else s
                     prefix.append(rare[: len(s) - need(len(s), percent) + 1].view(np.int64))
                     hist.append(histogram(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(hist, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(hist, pa.binary())], names)
 
-    names = ["id", "fp", "key", "size", "prefix", "hist"]
+    names = ["id", "fp", "size", "prefix", "hist"]
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, fp binary, key long, size int, prefix array<long>, hist binary")
+    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, fp binary, size int, prefix array<long>, hist binary")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
-    """The sets of the classes in `wanted` (node, fp, key, least): node, set.
+    """The sets of the classes in `wanted` (node, fp, least): node, set.
 
-    A second pass over the texts keeps the sets whose bit is set in a bitmap of the wanted ones, of at most 2**28 bits;
-    what else passes is removed by the join.
+    A second pass over the texts makes the sets of rows whose id is in a bitmap of the wanted ones, of at most 2**28
+    bits; what else passes is removed by the join.
     """
     wanted = written(wanted, "wanted")
     many = wanted.count()
     bits = 1 << min(28, max(15, (64 * many).bit_length()))
-    mixed = F.col("key").bitwiseXOR(F.shiftleft(F.coalesce(F.col("least").cast("long"), F.lit(0)), 20))
-    place = F.pmod(mixed, F.lit(bits)) + 1  # the bitmap functions count from 1
-    rows = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    bitmap = np.zeros((bits // 8 // 4096 or 1) * 4096, dtype=np.uint8)
+
+    def place(c: str):
+        return F.pmod(F.xxhash64(F.coalesce(F.col(c).try_cast("long"), F.lit(0))), F.lit(bits))
+
+    rows = wanted.select((place("least") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()  # positions count from 1
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
     for r in rows:
         bitmap[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -213,23 +213,17 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(n), shared.value
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for at, texts in _batches(b.column(1)):
-                fp, found = [], []
-                for i, s in enumerate(shingler.sets(texts)):
-                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    key = int.from_bytes(digest[:8], "little", signed=True)
-                    shifted = ((ids[at + i] or 0) << 20) & (2**64 - 1)
-                    p = (key ^ (shifted - 2**64 if shifted >= 2**63 else shifted)) % bits
-                    if seen[p >> 3] >> (p & 7) & 1:
-                        fp.append(digest)
-                        found.append(s.view(np.int64))
-                if fp:
-                    yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["fp", "set"])
-
-    given = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    passed = given.mapInArrow(run, "fp binary, set array<long>")
-    return written(passed.join(wanted.select("node", "fp"), "fp").select("node", "set").dropDuplicates(["node"]), "sets")
+            p = b.column(0).to_numpy()
+            texts = b.column(1).filter(pa.array((seen[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)))
+            for _, some in _batches(texts):
+                found = list(shingler.sets(some))
+                fp = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
+                yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["fp", "set"])
+
+    passed = docs.select(place(id_col).alias("p"), F.col(text_col)).mapInArrow(run, "fp binary, set array<long>")
+    out = written(passed.join(wanted.select("node", "fp"), "fp").dropDuplicates(["fp"]).select("node", "set"), "sets")
+    discard(wanted)
+    return out
 
 
 def within(a: str, b: str, percent: int):
@@ -343,7 +337,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     counts = rarity(docs, text_col, n, bits)
     base = written(describe(docs, id_col, text_col, n, percent, counts), "described")
     some = base.filter(F.col("size") > 0)
-    grouped = some.groupBy("fp").agg(F.min("id").alias("least"), F.first("key").alias("key"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("hist").alias("hist"))
+    grouped = some.groupBy("fp").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("hist").alias("hist"))
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     rows = classes.select("node", "size", F.posexplode("prefix").alias("pos", "gram"))
@@ -366,6 +360,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     more = written(across(tiled.join(classes.select("node", "hist"), "node").join(grams, "node"), percent).distinct(), "pairs")
     links = _links(more, docs, id_col, text_col, n, percent, classes)
     merged = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(known.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    discard(links, known, lists)
 
     rooted = classes.select("fp", "node", "least").join(merged, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -377,8 +372,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
 def _links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, classes: DataFrame) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = sets_of(docs, id_col, text_col, n, classes.join(nodes, "node").select("node", "fp", "key", "least"))
-    return verified(pairs, sets, percent)
+    sets = sets_of(docs, id_col, text_col, n, classes.join(nodes, "node").select("node", "fp", "least"))
+    found = written(verified(pairs, sets, percent), "links")
+    discard(sets, pairs)
+    return found
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
