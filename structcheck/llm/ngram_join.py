@@ -8,9 +8,10 @@ link: by length, by the positions of the shared n-gram, and by a suffix filter,
 distance is at most that of the sets. Each candidate pair is verified once, on the whole sets.
 
 Only connectivity is asked for, so pairs within a known component need no test. First each list of a prefix n-gram
-links its members to its smallest and its largest one. The lists that still hold several components then give their
-remaining pairs across components, each pair in the list of the first n-gram that both prefixes share. Long lists are
-cut into blocks, and each pair of blocks is a task of its own: no list is held whole, and none is capped.
+is tested between its members and its smallest and its largest one. That is every pair of lists of up to three. The
+others of a longer list, where they are of several components, then give their pairs across components, each pair in
+the list of the first n-gram that both prefixes share. Long lists are cut into blocks, and each pair of blocks is a task
+of its own: no list is held whole, and none is capped.
 """
 
 from __future__ import annotations
@@ -286,7 +287,7 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
             total = sa[i] + sb
             least = -(-percent * total // (100 + percent))
             ok = (cb != ca[i]) & (np.minimum(sb, sa[i]) * 100 >= np.maximum(sb, sa[i]) * percent)
-            ok &= 1 + np.minimum(sa[i] - pa_[i] - 1, sb - pb - 1) + np.minimum(pa_[i], pb) >= least
+            ok &= np.minimum(sa[i] - pa_[i], sb - pb) >= least  # here in the first list of the pair nothing shared lies before
             if a_side is b_side:
                 ok[: i + 1] = False
             js = np.flatnonzero(ok)
@@ -350,13 +351,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     links = _links(near, docs, id_col, text_col, n, percent, classes)
     known = components(links, "a", "b")
 
-    placed = lists.join(known, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    untested = lists.filter((F.col("n") > 3) & (F.col("node") != F.col("first.node")) & (F.col("node") != F.col("last.node")))
+    placed = untested.join(known, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     mixed = placed.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y")).select("gram")
     rest = placed.join(mixed, "gram").select("gram", "node", "comp", "size", "pos", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     tiled = rest.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "size", "pos")
     shared = F.transform(F.sort_array(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"])
-    grams = lists.join(mixed.select("gram"), "gram", "left_semi").select("node").distinct().join(lists, "node").groupBy("node").agg(shared.alias("grams"))
+    grams = rest.select("node").distinct().join(lists, "node").groupBy("node").agg(shared.alias("grams"))
     more = written(across(tiled.join(classes.select("node", "hist"), "node").join(grams, "node"), percent).distinct(), "pairs")
     links = _links(more, docs, id_col, text_col, n, percent, classes)
     merged = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(known.select(F.col("node").alias("u"), F.col("root").alias("v"))))
