@@ -27,9 +27,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "text")
-    sampled = piece_lattice.digest(piece_lattice.encode(docs, path))
-    back = piece_lattice.decode(sampled, path)
-    return back.select("doc_id", "n_pieces", "ids_crc32", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("lossless"))
+    sampled = piece_lattice.round_trip(docs, path)
+    return sampled.select("doc_id", "n_pieces", "ids_crc32", (F.col("back_crc32") == F.col("text_crc32")).alias("lossless"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

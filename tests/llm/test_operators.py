@@ -195,9 +195,9 @@ def test_vectors(spark):
 def test_pieces_round_trip_and_chances():
     pieces = piece_lattice.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     texts = ["", "Hello world", " two  spaces ", "▁ literal", "naïve 😀\n\ttabs", "x" * 300]
-    one = piece_lattice.sample_batch(texts, list(range(6)), pieces, 0)
+    one = piece_lattice.sample_batch(texts, list(range(6)), piece_lattice.Lattices(pieces), 0)
     assert [piece_lattice.decoded(list(i), pieces) if len(i) else "" for i in one] == texts
-    assert [list(i) for i in piece_lattice.sample_batch(texts[::-1], list(range(6))[::-1], pieces, 0)[::-1]] == [list(i) for i in one]
+    assert [list(i) for i in piece_lattice.sample_batch(texts[::-1], list(range(6))[::-1], piece_lattice.Lattices(pieces, limit=0), 0)[::-1]] == [list(i) for i in one]
     known = {pieces.text[i]: w for i, w in zip(pieces.ids, pieces.weights)}
     word = " ab"
     ways = {}
@@ -210,7 +210,7 @@ def test_pieces_round_trip_and_chances():
         if all(p in known for p in parts):
             ways[tuple(parts)] = np.exp(sum(known[p] for p in parts))
     n = 4000
-    seen = collections.Counter(tuple(pieces.text[i] for i in ids) for ids in piece_lattice.sample_batch(["ab"] * n, list(range(n)), pieces, 1))
+    seen = collections.Counter(tuple(pieces.text[i] for i in ids) for ids in piece_lattice.sample_batch(["ab"] * n, list(range(n)), piece_lattice.Lattices(pieces), 1))
     for way, weight in ways.items():
         assert abs(seen[way] / n - weight / sum(ways.values())) < 0.04
 
@@ -220,6 +220,10 @@ def test_encode_and_decode(spark):
     given = docs(spark, [None, "", "some text here", "some text here"])
     back = piece_lattice.decode(piece_lattice.digest(piece_lattice.encode(given, path)), path)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {0: None, 1: "", 2: "some text here", 3: "some text here"}
+    once = {r["doc_id"]: r for r in piece_lattice.round_trip(given, path).collect()}
+    assert {k: (r["n_pieces"], r["ids_crc32"]) for k, r in once.items()} == {r["doc_id"]: (r["n_pieces"], r["ids_crc32"]) for r in back.collect()}
+    assert [once[k]["back_crc32"] for k in range(3)] == [None, 0, zlib.crc32(b"some text here")]
+    assert piece_lattice.round_trip(docs(spark, []), path).count() == 0
 
 
 def test_restoring_and_scoring(spark):
