@@ -3,10 +3,11 @@
 Three steps. A character trigram model is counted over all documents. A Viterbi search restores each disguised word:
 its lattice has, for each character, the character itself and the letters it may stand for, for a run of a letter one
 or two of it or all, for marks and gaps within a word their deletion; each edge has a channel cost, and the path of the
-best channel and trigram score is the restored word. The restored text is then scored: word beginnings that mark toxic
+best channel and trigram score is the restored word. A sign that stands for a letter takes part wherever it is in the
+word; marks around a word that stand for none do not, nor do brackets that are closed later in the text. The restored text is then scored: word beginnings that mark toxic
 texts are found by an Aho-Corasick automaton, and a logistic regression weighs their counts.
 
-Words without a disguise (letters only, none three times running) have a lattice of one path and are left as they are.
+Words without a disguise (letters only, none twice running) have a lattice of one path and are left as they are.
 """
 
 from __future__ import annotations
@@ -29,10 +30,16 @@ DIGIT, MARK, OTHER, CLASSES = 59, 60, 61, 64
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = frozenset(" .-_*~'^`,/\\#")
 #: Log-probabilities of the channel.
-SAME, STANDS_FOR, MARK_SAME, DELETED, GAP, COLLAPSED = (float(np.log(p)) for p in (0.9, 0.05, 0.2, 0.1, 0.3, 0.3))
-EDGES = ".,;:?\"'()[]{}<>«»“”„…#%&*!-_~|"
-SPACED = re.compile(r"(?<![^\s])(?:[^\W_][ .\-_*]{1,3}){2,}[^\W_](?![^\s])")
-RUN = re.compile(r"([^\W\d_])\1\1")
+SAME, STANDS_FOR, MARK_SAME, DELETED, GAP, COLLAPSED, HALVED = (float(np.log(p)) for p in (0.9, 0.05, 0.2, 0.1, 0.3, 0.3, 0.02))
+#: Takes the place of a bracket that is closed later.
+OPENED = "\ue000"
+#: Marks around a word that stand for no letter.
+EDGES = OPENED + ".,;:?\"')[]{}<>«»“”„…#%&*-_~"
+SIGNS = "".join(c for c in LEET if not c.isdigit())
+LETTER = rf"(?:[^\W_]|[{re.escape(SIGNS)}])"
+SPACED = re.compile(rf"(?<!\S)([\"'(\[{{<«“„*#~]*)((?:{LETTER}[ .\-_*]{{1,3}}){{2,}}{LETTER})(?=[.,;:?!\"')\]}}>»”…*~]*(?!\S))")
+BRACKETED = re.compile(r"(?<!\S)([\"'\[{<«“„*#~]*)\((?=[^()]*\))")
+RUN = re.compile(r"([^\W\d_])\1")
 
 
 def class_of(c: str) -> int:
@@ -117,7 +124,9 @@ class Restorer:
                 run += 1
             edges: list[tuple[str, float]]
             if c.isalpha():
-                if run >= 3:
+                if run == 2:
+                    edges = [(c * 2, SAME * 2), (c, HALVED)]
+                elif run >= 3:
                     edges = [(c, COLLAPSED), (c * 2, COLLAPSED - 1.0), (c * run, SAME * run)]
                 else:
                     run, edges = 1, [(c, SAME)]
@@ -160,11 +169,20 @@ class Restorer:
         self.known[w] = out
         return out
 
+    def joined(self, m: re.Match) -> str:
+        """A spaced word restored; signs alone, as of a sum, are left as they are."""
+        seen = m[2]
+        if not any(c.isalpha() for c in seen) and any(c in SIGNS for c in seen):
+            return m[0]
+        return m[1] + self.decode(re.sub(r"[ .\-_*]+", " ", seen))
+
     def text(self, text: str) -> str:
         """The text in small letters with each word restored and one space between words."""
-        spaced = SPACED.sub(lambda m: self.decode(re.sub(r"[ .\-_*]+", " ", m.group())), text.lower())
+        lowered = text.lower()
+        if "(" in lowered:
+            lowered = BRACKETED.sub(rf"\1{OPENED}", lowered)
         word = self.word
-        return " ".join([word(w) for w in spaced.split()])
+        return " ".join([word(w) for w in SPACED.sub(self.joined, lowered).split()]).replace(OPENED, "(")
 
 
 class Model(NamedTuple):
