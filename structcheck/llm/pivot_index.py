@@ -5,9 +5,11 @@ the vectors that have two pivots both among their nearest, so that two vectors m
 more; each pair is counted in the list of its two smallest shared pivots alone and verified by its cosine in double
 precision. Vectors equal in all components are one class and take part once, with their number.
 
-The number of pivots grows with the root of the number of classes, so that the length of a list does not grow with the
-table; long lists are cut into blocks and each pair of blocks is a task of its own, so none is capped. The index is a
-filter: links between vectors that share fewer than two pivots are not found; recall is measured by tests.
+The number of pivots grows with the root of the number of classes up to a bound, since with more pivots two vectors of
+one cosine share fewer of their nearest. Beyond it lists grow with the table; long lists are cut into blocks and each
+pair of blocks is a task of its own, so none is capped. The index is a filter: links between vectors that share fewer
+than two pivots are not found; recall is measured by tests, also with as many pivots as the largest table has.
+Vectors of each dimension are compared among themselves.
 """
 
 from __future__ import annotations
@@ -133,26 +135,41 @@ def compare(rows: DataFrame, width: int, k: int, count: int, cosine: float) -> D
     return given.mapInArrow(run, "node long, links long, root long")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, k: int = 6, block: int = 1024, most_pivots: int = 16_384) -> DataFrame:
+def pivot_count(many: int, most_pivots: int) -> int:
+    """A power of two of at least twice the root of `many`, from 64 up to `most_pivots`; at most `many`."""
+    return min(most_pivots, max(64, 1 << math.ceil(math.log2(2 * math.sqrt(many)))), many)
+
+
+def neighbours(count: int) -> int:
+    """Nearest pivots of a vector: one more among more than 512 pivots, which holds recall at cosine 0.9 above 0.9."""
+    return 6 if count <= 512 else 7
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, k: int | None = None, block: int = 1024, most_pivots: int = 1024) -> DataFrame:
     """Links vectors of cosine `cosine` or more.
 
     Returns one row for each row of `vectors`: the id, n_links (other vectors linked directly), component_id (the
     smallest id that links reach, itself included), kept (whether that is its own). A vector that is null, empty or
-    zero, or holds null or non-finite components, links with nothing, nor does one whose dimension is not that of most
-    usable vectors. Null ids take part and are never the smallest unless all are null. The pivots are the usable
-    vectors of least hash, a power of two of at least twice the root of their number, from 64 up to `most_pivots`.
+    zero, or holds null or non-finite components, links with nothing; the others link within their dimension, each
+    dimension by an index of its own. Null ids take part and are never the smallest unless all are null. The pivots
+    are the usable vectors of least hash, see `pivot_count`; without `k`, `neighbours` says how many describe a vector.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    sizes = rows.filter(usable("v")).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    nothing = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    if sizes is None:
-        return _shaped(nothing, id_col)
-    width = sizes["d"]
-    good = rows.filter(usable("v", width))
+    sizes = rows.filter(usable("v")).groupBy(F.size("v").alias("d")).count().orderBy("d").collect()  # one row for each dimension
+    several = [r["d"] for r in sizes if r["count"] > 1]
+    good = usable("v") & F.size("v").isin(several) if several else F.lit(False)
+    out = rows.filter(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    for width in several:
+        out = out.unionByName(_of_width(rows.filter(usable("v", width)), width, cosine, k, block, most_pivots))
+    return _shaped(out, id_col)
+
+
+def _of_width(good: DataFrame, width: int, cosine: float, k: int | None, block: int, most_pivots: int) -> DataFrame:
+    """id, n_links, component_id of usable vectors of one dimension."""
     classes = written(good.groupBy("v").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "classes")
     many = classes.count()
-    count = min(most_pivots, max(64, 1 << math.ceil(math.log2(2 * math.sqrt(many)))), many)
-    k = min(k, count)
+    count = pivot_count(many, most_pivots)
+    k = min(k or neighbours(count), count)
     if count < 2:
         counted = classes.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("root"))
     else:
@@ -170,9 +187,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     full = classes.join(linked, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = full.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = full.join(smallest, "root").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    found = good.join(labels, "v").select("id", "n_links", "component_id")
-    bad = rows.filter(~usable("v", width)).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return _shaped(found.unionByName(bad), id_col)
+    return good.join(labels, "v").select("id", "n_links", "component_id")
 
 
 def _shaped(found: DataFrame, id_col: str) -> DataFrame:
