@@ -50,6 +50,11 @@ FOUND = "v AS (" + " UNION ALL ".join(f"SELECT repo, '{i}' AS invariant, '{n}' A
 ALL_INVARIANTS = "AbstractionPolicy AcyclicGeneralization ExclusiveDeclarationOwnership IdentifierIntegrity ImplementationBindingPolicy InheritedConflictPolicy InheritedMemberDerivation LocalAttributeNamespace LocalInheritedSeparation LocalMethodNamespace OverridePolicy StaticMethodPolicy".split()
 
 
+#: The invariants of the rules that FOUND leaves out.
+OTHER_INVARIANTS = {"chk_duplicate_ids": "IdentifierIntegrity", "chk_exclusive_owner": "ExclusiveDeclarationOwnership", "chk_inherited_private": "InheritedMemberDerivation", "chk_local_inherited_disjoint": "LocalInheritedSeparation", "chk_binding_target": "ImplementationBindingPolicy", "chk_multiple_bindings": "ImplementationBindingPolicy", "chk_unresolved": "AbstractionPolicy", "chk_local_attr_namespace": "LocalAttributeNamespace", "chk_inherited_method_conflict": "InheritedConflictPolicy", "chk_inherited_attr_conflict": "InheritedConflictPolicy", "spec_override_return": "OverridePolicy", "spec_override_implemented": "OverridePolicy"}
+WHOLE = f"{OVERRIDES}, v AS (" + " UNION ALL ".join(f"SELECT repo, '{i}' AS invariant, '{n}' AS check_name, subject, description FROM ({CHECKS[n].removeprefix(f', {OVERRIDES} ')})" for n, i in (INVARIANTS | OTHER_INVARIANTS).items()) + ")"
+
+
 def _inherited(atoms: str, atom: str, key: list[str], out: str) -> str:
     keys = ", ".join(key)
     same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in key)
@@ -66,6 +71,9 @@ WANTED = "contains(lower(name), 'a') AND license IN ('Brand#11', 'Brand#12', 'Br
 URL = r"^(?i:https)://([A-Za-z0-9.-]+)(?::443)?/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?i:\.git)?/?$"
 
 ON_INSTANCE = CHECKS | {
+    "whole_verdict": f", {WHOLE} SELECT r.repo, CASE WHEN n > 0 THEN 'UNSAT' ELSE 'SAT' END AS result, coalesce(n, 0) AS n_violations FROM (SELECT DISTINCT repo FROM cls) r LEFT JOIN (SELECT repo, count(*) AS n FROM v GROUP BY 1) USING (repo)",
+    "whole_matrix": f", {WHOLE} SELECT repo, invariant, check_name, count(*) AS n FROM v GROUP BY ALL",
+    "whole_dead": f", {WHOLE} SELECT invariant FROM (SELECT unnest({ALL_INVARIANTS}) AS invariant) ANTI JOIN v USING (invariant)",
     "repo_verdict": f", {FOUND} SELECT r.repo, CASE WHEN n > 0 THEN 'UNSAT' ELSE 'SAT' END AS result, coalesce(n, 0) AS n_violations FROM (SELECT DISTINCT repo FROM cls) r LEFT JOIN (SELECT repo, count(*) AS n FROM v GROUP BY 1) USING (repo)",
     "violation_matrix": f", {FOUND} SELECT repo, invariant, check_name, count(*) AS n FROM v GROUP BY ALL",
     "verdict_counts": f", {FOUND}, w AS (SELECT r.repo, CASE WHEN n > 0 THEN 'UNSAT' ELSE 'SAT' END AS result, coalesce(n, 0) AS k FROM (SELECT DISTINCT repo FROM cls) r LEFT JOIN (SELECT repo, count(*) AS n FROM v GROUP BY 1) USING (repo)) SELECT result, count(*) AS repos, CAST(sum(k) AS BIGINT) AS n_violations FROM w GROUP BY 1",

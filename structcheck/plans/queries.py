@@ -25,7 +25,7 @@ def _check(name: str) -> Query:
     return lambda spark, sf_dir: rules.REGISTRY[name].check(bridge.instance(spark, sf_dir))
 
 
-#: Rules whose violations the reports below gather.
+#: Rules whose violations the reports below gather, as their SQL has them; the whole_* reports gather those of every rule.
 REPORTED = ["chk_duplicate_names", "chk_static_abstract", "chk_abstract_in_concrete", "chk_missing_binding", "chk_abstract_has_body", "chk_orphan_body", "chk_local_namespace", "chk_cycle"]
 
 
@@ -65,6 +65,27 @@ def audit_dead(spark, sf_dir):
     return names.join(found.select("invariant").distinct(), "invariant", "left_anti")
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = bridge.instance(spark, sf_dir)
+    return rules.violations(m, list(rules.REGISTRY)), m.classifier.select("repo").distinct()
+
+
+def whole_verdict(spark, sf_dir):
+    """As repo_verdict, from every rule of the registry."""
+    return rules.verdicts(*_whole(spark, sf_dir))
+
+
+def whole_matrix(spark, sf_dir):
+    """As violation_matrix, from every rule of the registry."""
+    return _whole(spark, sf_dir)[0].groupBy("repo", "invariant", "check_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def whole_dead(spark, sf_dir):
+    """Invariants of the registry that never fire when every rule is run."""
+    names = spark.createDataFrame([(i,) for i in sorted({r.invariant for r in rules.REGISTRY.values()})], "invariant string")
+    return names.join(_whole(spark, sf_dir)[0].select("invariant").distinct(), "invariant", "left_anti")
+
+
 def report_read(spark, sf_dir):
     """Reports written as JSON and read again; an unknown result is ERROR."""
     found = rules.REGISTRY["chk_static_abstract"].check(bridge.instance(spark, sf_dir))
@@ -333,7 +354,7 @@ def extract_py(spark, sf_dir):
 
 
 NAMED = [
-    repo_verdict, violation_matrix, verdict_counts, repo_summary, audit_matrix, audit_dead, report_read, result_rows, ancestor_closure, first_parent, ancestor_chain, subtype_pairs, inherited_methods, inherited_attributes, available_members, dup_id_pairs,
+    repo_verdict, violation_matrix, verdict_counts, repo_summary, audit_matrix, audit_dead, whole_verdict, whole_matrix, whole_dead, report_read, result_rows, ancestor_closure, first_parent, ancestor_chain, subtype_pairs, inherited_methods, inherited_attributes, available_members, dup_id_pairs,
     binding_wide, atom_kind, compat_local_namespace, compat_first_duplicate, load_types, map_classifier, map_method, map_attribute, map_binding, rel_parents, aie_atoms, aie_attrs, aie_tuples, catalog_search, catalog_topk, catalog_page, catalog_parse, url_normalize,
     distinct_repos, queue_dedup, queue_merge, queue_merge_stats, latest_status, queue_ready, status_timeline, language_vote, file_filter, fingerprint, combined_report, invariant_lookup, existing_state, extract_py,
 ]
