@@ -4,7 +4,8 @@ A page is cut into blocks of text at every tag that is not inline. A block has a
 share of its words inside links), those of the block before and after it, and what its surroundings say: whether a
 landmark such as ``nav`` or ``footer`` encloses it, whether an enclosing class, id or role names boilerplate, whether
 an ``article`` or ``main`` encloses it, and whether it is a heading. The tree is grown from LABELLED, a small table of
-labelled blocks, when the operator is called; it decides which blocks are the article.
+labelled blocks, when the operator is called; it decides which blocks are the article, but those of an ``article`` or
+``main`` that no landmark or name encloses always are.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from . import common  # noqa: F401  workers need no copy of this module
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|iframe|object|svg|math|select|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(?:svg|canvas|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
+    r"|<(script|style|noscript|template|title|textarea|iframe|object|svg|annotation-xml|annotation|select|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 ATTR = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter picture progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter picture progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr"
+    " math semantics maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split()
 )
 CONTAINERS = frozenset("html body article main section div nav header footer aside form menu dialog fieldset ul ol li dl dt dd table tbody thead tfoot tr td th blockquote figure figcaption details summary center button pre address search".split())
 LANDMARKS = frozenset("nav footer aside form menu dialog fieldset button search head".split())
@@ -58,7 +61,7 @@ def _named(attrs: str, in_article: bool) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order. Markup, comments, scripts and styles are dropped; references are decoded."""
+    """The text blocks of a page in order. Markup, comments, scripts, styles and drawings are dropped; references are decoded."""
     out: list[Block] = []
     stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # name, landmark, named, article
     text: list[str] = []
@@ -141,8 +144,8 @@ LABELLED = [
     (8, 0.0, 5, 0.0, 40, 0.0, 0, 0, 1, 1, 1), (60, 0.0, 8, 0.0, 55, 0.0, 0, 0, 1, 0, 1), (1, 0.0, 60, 0.0, 40, 0.0, 0, 0, 1, 0, 1), (3, 0.0, 45, 0.1, 0, 0.0, 0, 0, 1, 0, 1), (22, 0.3, 35, 0.0, 41, 0.0, 0, 0, 1, 0, 1), (5, 1.0, 35, 0.0, 41, 0.0, 0, 0, 1, 0, 1),
     (14, 0.0, 7, 0.0, 12, 0.0, 0, 0, 1, 0, 1), (300, 0.0, 9, 0.0, 7, 1.0, 0, 0, 1, 0, 1), (30, 0.5, 20, 0.2, 30, 0.0, 0, 0, 1, 0, 1), (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1, 0, 1), (1, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0, 1), (6, 0.0, 1, 1.0, 3, 0.0, 0, 0, 1, 1, 1),
     (5, 0.0, 90, 0.0, 10, 1.0, 0, 0, 1, 0, 1), (18, 0.0, 200, 0.0, 150, 0.0, 0, 0, 1, 0, 1), (7, 0.2, 14, 0.0, 9, 0.0, 0, 0, 1, 0, 1),
-    # lists of links inside it
-    (4, 1.0, 5, 1.0, 6, 1.0, 0, 0, 1, 0, 0), (8, 1.0, 60, 0.0, 7, 1.0, 0, 0, 1, 0, 0), (6, 1.0, 9, 1.0, 0, 0.0, 0, 0, 1, 0, 0), (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0, 0),
+    # lists of links on pages without such an element
+    (4, 1.0, 5, 1.0, 6, 1.0, 0, 0, 0, 0, 0), (8, 1.0, 60, 0.0, 7, 1.0, 0, 0, 0, 0, 0), (6, 1.0, 9, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
     # pages without such an element: running text and its headings against scraps
     (70, 0.0, 12, 0.0, 65, 0.0, 0, 0, 0, 0, 1), (45, 0.1, 70, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (16, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 1, 1.0, 70, 0.0, 0, 0, 0, 1, 1), (6, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 1, 1), (28, 0.0, 8, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (24, 0.2, 50, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
     (20, 0.9, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 4, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (10, 0.8, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0), (6, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (40, 0.7, 5, 1.0, 30, 0.6, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 5, 1.0, 0, 0, 0, 1, 0),
@@ -183,10 +186,16 @@ def decide(tree: tuple, row: tuple) -> int:
     return tree[0]
 
 
+def is_article(tree: tuple, row: tuple) -> int:
+    """Whether a block is of the article: in its element all are that no landmark or name encloses, elsewhere the tree decides."""
+    _, _, _, _, _, _, landmark, named, article, _ = row
+    return 1 if article and not landmark and not named else decide(tree, row)
+
+
 def main_text(page: str | None, tree: tuple) -> str:
     """The article's blocks in page order, one line each."""
     found = blocks(page or "")
-    return "\n".join(b.text for b, row in zip(found, features(found)) if decide(tree, row))
+    return "\n".join(b.text for b, row in zip(found, features(found)) if is_article(tree, row))
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", labelled: list[tuple] | None = None) -> DataFrame:
