@@ -3,7 +3,7 @@
 Three base kinds are found in every text, each leftmost and non-overlapping: ``assign`` (a named secret with a value of
 eight or more characters), ``access`` (an access identifier) and ``hex`` (a run of 32 or more hexadecimal digits).
 
-Weak parts say little alone: ``key`` (a bare token that mixes letter cases and digits, as secret keys do), ``endpoint``
+Weak parts say little alone: ``key`` (a bare token of 20 or more characters that mixes letter cases and digits, as secret keys do), ``endpoint``
 (a URL or a named host) and ``user`` (a named account). A weak part becomes a span of kind ``link_key``,
 ``link_endpoint`` or ``link_user`` only when a part of a complementary role lies within `scope` characters: an
 identifier (``access`` or ``user``) needs a secret, a bare key needs an identifier, an endpoint needs both. The parts of
@@ -26,7 +26,7 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: A weak part has the span of the whole match.
 WEAK = {
-    "key": r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[A-Z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])",
+    "key": r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*+[0-9])(?=[A-Z0-9+/=_-]*+[a-z])(?=[a-z0-9+/=_-]*+[A-Z])[A-Za-z0-9+/=_-]{20,}+",
     "endpoint": r"""(?:https?|jdbc:[a-z]{2,20}|postgres|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{3,}|(?i:endpoint|host|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}""",
     "user": r"""(?i:username|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{2,}""",
 }
