@@ -7,11 +7,13 @@ bounded; a bucket's count only orders, it never drops). Candidates share a prefi
 link: by length, by the positions of the shared n-gram, and by a suffix filter, a histogram of the hashes whose
 distance is at most that of the sets. Each candidate pair is verified once, on the whole sets.
 
-Only connectivity is asked for, so pairs within a known component need no test. First each list of a prefix n-gram
-is tested between its members and its smallest and its largest one. That is every pair of lists of up to three. The
-others of a longer list, where they are of several components, then give their pairs across components, each pair in
-the list of the first n-gram that both prefixes share. Long lists are cut into blocks, and each pair of blocks is a task
-of its own: no list is held whole, and none is capped.
+Only connectivity is asked for, so pairs within a known component need no test. Lists of up to SHORT nodes are tested
+pair by pair; of longer lists each node is first tested against one hub alone. What a list then still holds of several
+components is compared across components, whole: its largest component against its other nodes, and these among
+themselves, in blocks of bounded size, each pair of blocks a task of its own. No list is held whole, and none is capped.
+Blocks compare coarse histograms; nodes with a candidate left get a histogram of as many bins as their set needs, which
+almost only links pass. First each pair of blocks gives a forest of its closest candidates, fewer than it has nodes.
+These are verified and merge components; then all candidates across the components that are left are verified too.
 """
 
 from __future__ import annotations
@@ -25,11 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, free_name, written
 from .components import components
 
 SEGMENT = 1 << 19
-BINS = 128
+#: Bins of the coarse histogram that every set has, and the most of a fine one.
+BINS, MOST_BINS = 128, 1 << 14
+#: Lists of up to SHORT nodes are tested pair by pair, longer ones against hubs.
+SHORT = 3
+#: Grams of a node that tell whether two nodes have met in a list before.
+EARLY = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -165,31 +172,39 @@ def need(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def histogram(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+def histogram(s: np.ndarray, bins: int = BINS) -> bytes:
+    """Numbers of hashes by their low bits, at most 255 each; bins is a power of two."""
+    return np.minimum(np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def fine_bins(size: int) -> int:
+    """Bins of a set's fine histogram: a power of two of at least twice its size, within bounds."""
+    return min(MOST_BINS, max(BINS, 1 << (2 * size - 1).bit_length()))
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """For each row: id, fp (a digest of the set), size, prefix, hist."""
+    """For each row: id, digest (MD5 of the text), fp (a digest of the set), size, prefix, hist."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # as many numbers as buckets
     bits = int(math.log2(len(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, order = Shingler(n), shared.value
         for b in batches:
-            fp, size, prefix, hist = [], [], [], []
+            digest, fp, size, prefix, hist = [], [], [], [], []
             for _, texts in _batches(b.column(1)):
+                digest += [hashlib.md5(t, usedforsecurity=False).digest() for t in texts]
                 for s in shingler.sets(texts):
                     fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     size.append(len(s))
                     rare = s[np.lexsort((s, order[(s >> np.uint64(64 - bits)).astype(np.int64)]))] if len(s) else s
                     prefix.append(rare[: len(s) - need(len(s), percent) + 1].view(np.int64))
                     hist.append(histogram(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(hist, pa.binary())], names)
+            columns = [pa.array(digest, pa.binary()), pa.array(fp, pa.binary()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(hist, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
 
-    names = ["id", "fp", "size", "prefix", "hist"]
+    names = ["id", "digest", "fp", "size", "prefix", "hist"]
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, fp binary, size int, prefix array<long>, hist binary")
+    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, digest binary, fp binary, size int, prefix array<long>, hist binary")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -205,7 +220,8 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFra
     def place(c: str):
         return F.pmod(F.xxhash64(F.coalesce(F.col(c).try_cast("long"), F.lit(0))), F.lit(bits))
 
-    rows = wanted.select((place("least") + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()  # positions count from 1
+    placed = wanted.select((place("least") + 1).alias("p"))  # positions count from 1
+    rows = placed.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()  # a bitmap in all
     bitmap = np.zeros(bits // 8, dtype=np.uint8)
     for r in rows:
         bitmap[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], dtype=np.uint8)
@@ -235,7 +251,7 @@ def within(a: str, b: str, percent: int):
 def close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the suffix filter."""
     given = pairs.join(nodes.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("hist").alias("ha")), "a")
-    given = given.join(nodes.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("hist").alias("hb")), "b").select("a", "b", "sa", "sb", "ha", "hb")
+    given = given.join(nodes.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("hist").alias("hb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,10 +259,10 @@ def close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 continue
             total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
             ha, hb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for i in (4, 5))
-            keep = np.abs(ha - hb).sum(1) * (100 + percent) <= (100 - percent) * total
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+            keep = pa.array(np.abs(ha - hb).sum(1) * (100 + percent) <= (100 - percent) * total)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return given.mapInArrow(run, "a long, b long")
+    return given.select("a", "b", "sa", "sb", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,134 +273,299 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b")
 
 
-def across(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components in the lists of `rows`.
+def by_gram(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """`rows` joined with `found` (gram, n and others) by gram, where n is the length of the gram's list.
 
-    `rows`: gram, lo, hi (the blocks of the task), block, node, comp, size, pos, hist, grams (those of the node's prefix
-    that other nodes have too, in order). A task is the rows of one (gram, lo, hi); with lo = hi pairs come from within
-    the block, else from one block each.
+    A list of a 20,000th of all `total` rows of lists, and of 256 rows, is joined by broadcast, so that its rows stay
+    where they are; there are at most 20,000 of them.
     """
-    cols = ["gram", "lo", "hi", "block", "node", "comp", "size", "pos", "hist", "grams"]
-    given = rows.select(*cols).repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi")
+    long = F.col("n") >= max(256, total // 20_000)
+    hot = F.broadcast(found.filter(long))
+    cold = rows.join(F.broadcast(found.filter(long).select("gram")), "gram", "left_anti").join(found.filter(~long), "gram")
+    return rows.join(hot, "gram").unionByName(cold)
+
+
+def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of nodes of a list of up to SHORT, which the length filter leaves."""
+    member = F.struct("size", "node")
+    short = lists.filter(F.col("n") <= SHORT)
+    ends = short.groupBy("gram").agg(F.min(member).alias("first"), F.max(member).alias("last"))
+    met = short.select("gram", "node", "size").join(ends, "gram")
+    met = met.select("node", "size", F.explode(F.array("first", "last")).alias("o")).select("node", "size", F.col("o.node").alias("other"), F.col("o.size").alias("other_size"))
+    return _ordered(met, percent)
+
+
+def _ordered(met: DataFrame, percent: int) -> DataFrame:
+    met = met.filter((F.col("node") != F.col("other")) & within("size", "other_size", percent))
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def with_components(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds comp, the component of the row's node as far as links are known."""
+    return lists.join(known, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+
+def hub_pairs(lists: DataFrame, percent: int, total: int) -> DataFrame:
+    """A pair (a, b) for each node at most, with a hub of one of its lists.
+
+    The hubs of a list are its nodes of least and of greatest hash; of all that its lists offer, a node takes the one of
+    least hash, so that nodes with common lists take the same.
+    """
+    drawn = F.struct(F.xxhash64("node").alias("draw"), "node", "size")
+    hubs = lists.groupBy("gram").agg(F.min(drawn).alias("first"), F.max(drawn).alias("last"), F.first("n").alias("n"))
+    offered = by_gram(lists.drop("n"), hubs, total).select("node", "size", F.explode(F.array("first", "last")).alias("o"))
+    offered = offered.filter((F.col("o.node") != F.col("node")) & within("size", "o.size", percent))
+    taken = offered.groupBy("node").agg(F.min(F.struct("o.draw", "o.node")).alias("o")).select("node", F.col("o.node").alias("other"))
+    return taken.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def tiles(placed: DataFrame, block: int, total: int) -> DataFrame:
+    """The rows of the lists of several components, dealt to tiles: gram, lo, hi, block, node, comp, size, pos.
+
+    The nodes outside a list's largest component fall into its first blocks, those of the largest into blocks of their
+    own. A tile is a pair of blocks of which the first is of nodes outside.
+    """
+    each = placed.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k"))
+    most = each.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("n")).filter(F.col("n") > F.col("most.k"))
+    found = most.select("gram", "n", F.col("most.comp").alias("largest"), F.ceil((F.col("n") - F.col("most.k")) / block).cast("int").alias("out"), F.ceil(F.col("most.k") / block).cast("int").alias("in"))
+    rows = by_gram(placed.drop("n"), found, total)
+    outside = F.col("comp") != F.col("largest")
+    place = F.when(outside, F.pmod(F.xxhash64("node"), "out")).otherwise(F.col("out") + F.pmod(F.xxhash64("node"), "in")).cast("int")
+    others = F.sequence(F.lit(0), F.when(outside, F.col("out") + F.col("in")).otherwise(F.col("out")) - 1)
+    rows = rows.withColumn("block", place).withColumn("other", F.explode(others))
+    return rows.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "size", "pos")
+
+
+def folded(hist: np.ndarray, bins: int) -> np.ndarray:
+    """Histograms of fewer bins, a power of two."""
+    return hist.reshape(len(hist), -1, bins).sum(1, dtype=np.int32)
+
+
+class Side:
+    """One block of a tile as arrays, its rows in the order of their sizes."""
+
+    def __init__(self, rows: list[tuple], gram: int):
+        rows = sorted(rows, key=lambda r: (r[6], r[4]))
+        self.node, self.comp, self.size, self.pos = (np.array([r[i] for r in rows], dtype=np.int64) for i in (4, 5, 6, 7))
+        lengths = np.array([len(r[8]) for r in rows])
+        cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(rows)]
+        #: Rows from, to, and their histograms, for each number of bins.
+        self.parts = [(p, q, np.frombuffer(b"".join(r[8] for r in rows[p:q]), dtype=np.uint8).reshape(q - p, -1)) for p, q in zip(cuts, cuts[1:])]
+        self.coarse = np.concatenate([folded(m, BINS) for _, _, m in self.parts]).astype(np.int16)
+        self.early = [set(r[9][: r[9].index(gram)] if gram in r[9] else r[9]) for r in rows] if len(rows[0]) > 9 else []
+
+    def hist(self, i: int) -> np.ndarray:
+        return next(m[i - p] for p, q, m in self.parts if i < q)
+
+
+def alike(a: Side, b: Side, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of `a`, the rows of `b` that pass the filters by component, length, position and histogram.
 
-    def before(row: tuple) -> list[int]:
-        return row[9][: row[9].index(row[0])]
-
-    def pairs(held: list[tuple]) -> tuple[list[int], list[int]]:
-        a_side = [r for r in held if r[3] == r[1]]
-        b_side = a_side if held[0][1] == held[0][2] else [r for r in held if r[3] == r[2]]
-        if not a_side or not b_side:
-            return [], []
-
-        def arrays(side: list[tuple]):
-            hist = np.frombuffer(b"".join(r[8] for r in side), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
-            return *(np.array([r[i] for r in side], dtype=np.int64) for i in (4, 5, 6, 7)), hist
-
-        na, ca, sa, pa_, ha = arrays(a_side)
-        nb, cb, sb, pb, hb = arrays(b_side)
-        out_a, out_b = [], []
-        for i in range(len(na)):
-            total = sa[i] + sb
-            least = -(-percent * total // (100 + percent))
-            ok = (cb != ca[i]) & (np.minimum(sb, sa[i]) * 100 >= np.maximum(sb, sa[i]) * percent)
-            ok &= np.minimum(sa[i] - pa_[i], sb - pb) >= least  # here in the first list of the pair nothing shared lies before
-            if a_side is b_side:
-                ok[: i + 1] = False
-            js = np.flatnonzero(ok)
-            if not len(js):
+    The position filter takes nothing shared to lie before. That holds in the first list that two nodes share, where
+    every link passes; in later ones it may drop a pair that has been given out already.
+    """
+    for i in range(len(a.node)):
+        low, high = np.searchsorted(b.size, [need(int(a.size[i]), percent), int(a.size[i]) * 100 // percent + 1])
+        if a is b:
+            low = max(low, i + 1)
+        if low >= high:
+            continue
+        sizes = b.size[low:high]
+        total = a.size[i] + sizes
+        ok = (b.comp[low:high] != a.comp[i]) & (np.minimum(a.size[i] - a.pos[i], sizes - b.pos[low:high]) >= -(-percent * total // (100 + percent)))
+        js = np.flatnonzero(ok) + low
+        if len(js):
+            far = np.abs(b.coarse[js] - a.coarse[i]).sum(1, dtype=np.int64)
+            js = js[far * (100 + percent) <= (100 - percent) * (a.size[i] + b.size[js])]
+        if len(js):
+            yield i, js
+
+
+def near_nodes(a: Side, b: Side, percent: int) -> np.ndarray:
+    """The nodes of a tile that have a candidate in it."""
+    out = [np.zeros(0, dtype=np.int64)]
+    for i, js in alike(a, b, percent):
+        out += [a.node[i : i + 1], b.node[js]]
+    return np.unique(np.concatenate(out))
+
+
+def candidates(a: Side, b: Side, percent: int) -> Iterator[tuple[int, int, int]]:
+    """The pairs of a tile that pass the fine histograms too and have met in no earlier list: distance, row, row."""
+    for i, js in alike(a, b, percent):
+        mine = a.hist(i)[None, :]
+        for p, q, theirs in b.parts:
+            some = js[(js >= p) & (js < q)]
+            if not len(some):
                 continue
-            far = np.abs(hb[js] - ha[i]).sum(1)
-            js = js[far * (100 + percent) <= (100 - percent) * total[js]]
-            if len(js):
-                earlier = set(before(a_side[i]))
-                for j in js:
-                    if earlier.isdisjoint(before(b_side[j])):
-                        out_a.append(min(int(na[i]), int(nb[j])))
-                        out_b.append(max(int(na[i]), int(nb[j])))
-        return out_a, out_b
+            bins = min(mine.shape[1], theirs.shape[1])
+            far = np.abs(folded(theirs[some - p], bins) - folded(mine, bins)).sum(1)
+            ok = far * (100 + percent) <= (100 - percent) * (a.size[i] + b.size[some])
+            yield from ((int(d), i, int(j)) for d, j in zip(far[ok], some[ok]) if a.early[i].isdisjoint(b.early[j]))
+
+
+def near_pairs(a: Side, b: Side, percent: int, forest: bool) -> tuple[list[int], list[int]]:
+    """The candidates of a tile, or of them a forest over components, the closest first."""
+    found: Iterator[tuple[int, int, int]] | list = candidates(a, b, percent)
+    if forest:
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        kept = []
+        for d, i, j in sorted(found):
+            x, y = top(int(a.comp[i])), top(int(b.comp[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                kept.append((d, i, j))
+        found = kept
+    ends = [sorted((int(a.node[i]), int(b.node[j]))) for _, i, j in found]
+    return [e[0] for e in ends], [e[1] for e in ends]
+
+
+def across(rows: DataFrame, percent: int, want: str) -> DataFrame:
+    """What the tiles of `rows` hold: ``nodes`` with a candidate (node), ``pairs`` or a ``forest`` of them (a, b).
+
+    `rows`: gram, lo, hi, block, node, comp, size, pos, hist and, for pairs, early (the first of the node's prefix
+    n-grams that have lists). A task takes its tiles one after the other, so it holds two blocks at a time.
+    """
+    pairs = want != "nodes"
+    cols = ["gram", "lo", "hi", "block", "node", "comp", "size", "pos", "hist"] + (["early"] if pairs else [])
+    given = rows.select(*cols).repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi")
+    names = ["a", "b"] if pairs else ["node"]
+
+    def found(held: list[tuple]) -> list[list[int]]:
+        gram, lo, hi = held[0][:3]
+        sides = [[r for r in held if r[3] == x] for x in dict.fromkeys((lo, hi))]
+        if not all(sides) or len({r[5] for r in held}) < 2:
+            return [[] for _ in names]
+        blocks = [Side(s, gram) for s in sides]
+        if pairs:
+            return [*near_pairs(blocks[0], blocks[-1], percent, want == "forest")]
+        return [near_nodes(blocks[0], blocks[-1], percent).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        a: list[int] = []
-        b: list[int] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != held[0][:3]:
-                    x, y = pairs(held)
-                    a += x
-                    b += y
-                    held = []
-                held.append(row)
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
+        out: list[list[int]] = [[] for _ in names]
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names)
+
+        for b in batches:
+            for at in range(0, len(b), 512):
+                for row in zip(*(c.to_pylist() for c in b.slice(at, 512).columns)):
+                    if held and row[:3] != held[0][:3]:
+                        out = [x + y for x, y in zip(out, found(held))]
+                        held = []
+                        if len(out[0]) > 50_000:
+                            yield batch()
+                            out = [[] for _ in names]
+                    held.append(row)
         if held:
-            x, y = pairs(held)
-            a += x
-            b += y
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            out = [x + y for x, y in zip(out, found(held))]
+        yield batch()
 
-    return given.mapInArrow(run, "a long, b long")
+    return given.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bits: int = 18, block: int = 1024) -> DataFrame:
-    """Documents with the component that links of likeness `percent` or more make.
+def fine(sets: DataFrame) -> DataFrame:
+    """node and hist, a histogram of as many bins as its set needs."""
 
-    Returns one row for each row of `docs`: the id, n_shingles (size of its set) and component_id, the smallest id
-    that links reach, itself included. Equal sets are linked. A text with fewer than `n` words is one n-gram; one
-    without words, or null, has an empty set and is linked with nothing. Null ids take part and are never the smallest
-    unless all are null. `bits`: buckets of the rarity order; `block`: rows of a list that a task compares at once.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hists = [histogram(np.asarray(s.values).view(np.uint64), fine_bins(len(s))) for s in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hists, pa.binary())], ["node", "hist"])
+
+    return sets.select("node", "set").mapInArrow(run, "node long, hist binary")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, bits: int, block: int) -> DataFrame:
+    """For each row: id, digest, size and root, the node that stands for its component; null where the set is empty."""
     counts = rarity(docs, text_col, n, bits)
     base = written(describe(docs, id_col, text_col, n, percent, counts), "described")
     some = base.filter(F.col("size") > 0)
     grouped = some.groupBy("fp").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("hist").alias("hist"))
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
 
+    def sets(nodes: DataFrame) -> DataFrame:
+        return sets_of(docs, id_col, text_col, n, classes.join(nodes.distinct(), "node").select("node", "fp", "least"))
+
+    def merged(known: DataFrame | None, links: DataFrame) -> DataFrame:
+        edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return components(edges if known is None else edges.unionByName(known.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+
     rows = classes.select("node", "size", F.posexplode("prefix").alias("pos", "gram"))
-    member = F.struct("size", "node")
-    active = rows.groupBy("gram").agg(F.min(member).alias("first"), F.max(member).alias("last"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    lists = written(rows.join(active, "gram"), "lists")
-    hubs = lists.select("node", "size", F.explode(F.array("first", "last")).alias("hub")).select("node", "size", F.col("hub.node").alias("other"), F.col("hub.size").alias("other_size"))
-    near = hubs.filter((F.col("node") != F.col("other")) & within("size", "other_size", percent)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    active = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "active")
+    total = active.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lists = written(by_gram(rows, active, total), "lists")
+    long = lists.filter(F.col("n") > SHORT)
+    near = short_pairs(lists, percent).unionByName(hub_pairs(long, percent, total)).distinct()
     near = written(close_enough(near, classes, percent), "pairs")
-    links = _links(near, docs, id_col, text_col, n, percent, classes)
-    known = components(links, "a", "b")
-
-    untested = lists.filter((F.col("n") > 3) & (F.col("node") != F.col("first.node")) & (F.col("node") != F.col("last.node")))
-    placed = untested.join(known, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    mixed = placed.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y")).select("gram")
-    rest = placed.join(mixed, "gram").select("gram", "node", "comp", "size", "pos", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    tiled = rest.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "size", "pos")
-    shared = F.transform(F.sort_array(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"])
-    grams = rest.select("node").distinct().join(lists, "node").groupBy("node").agg(shared.alias("grams"))
-    more = written(across(tiled.join(classes.select("node", "hist"), "node").join(grams, "node"), percent).distinct(), "pairs")
-    links = _links(more, docs, id_col, text_col, n, percent, classes)
-    merged = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(known.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    discard(links, known, lists)
-
-    rooted = classes.select("fp", "node", "least").join(merged, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(smallest, "root").select("fp", "component_id")
-    linked = some.select("id", "fp", "size").join(labels, "fp").select("id", "size", "component_id")
-    alone = base.filter(F.col("size") == 0).select("id", "size", F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), "component_id")
-
-
-def _links(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, classes: DataFrame) -> DataFrame:
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = sets_of(docs, id_col, text_col, n, classes.join(nodes, "node").select("node", "fp", "least"))
-    found = written(verified(pairs, sets, percent), "links")
-    discard(sets, pairs)
-    return found
+    made = sets(near.select(F.explode(F.array("a", "b")).alias("node")))
+    links = written(verified(near, made, percent), "links")
+    known = merged(None, links)
+    discard(made, near)
+
+    rest = written(tiles(with_components(long, known), block, total), "tiles")
+    close = written(across(rest.join(classes.select("node", "hist"), "node"), percent, "nodes").distinct(), "close")
+    made = sets(close)
+    order = F.array_sort(F.collect_list(F.struct("pos", "gram")))
+    early = lists.join(close, "node").groupBy("node").agg(F.transform(F.slice(order, 1, EARLY), lambda x: x["gram"]).alias("early"))
+    described = written(fine(made).join(early, "node"), "fine")
+    for want in ("forest", "pairs"):
+        more = written(across(rest.join(described, "node"), percent, want).distinct(), "pairs")
+        links = written(verified(more, made, percent), "links")
+        known = merged(known, links)
+        discard(more)
+        if want == "forest":
+            left = lists.join(close, "node", "left_semi").filter(F.col("n") > SHORT)
+            rest = written(tiles(with_components(left, known), block, total), "tiles")
+    discard(made, rest, close, described, lists, active)
+
+    rooted = classes.select("fp", "node").join(known, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return base.select("id", "digest", "fp", "size").join(rooted, "fp", "left").select("id", "digest", "size", "root")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bits: int = 18, block: int = 512) -> DataFrame:
+    """Documents with the component that links of likeness `percent` or more make.
+
+    Returns one row for each row of `docs`: the id, n_shingles (size of its set) and component_id, the smallest id
+    that links reach, itself included. Equal sets are linked. A text with fewer than `n` words is one n-gram; one
+    without words, or null, has an empty set and is linked with nothing. Null ids take part and are never the smallest
+    unless all are null; rows of one id are rows of their own, linked by their texts; repeated rows get equal results.
+    A text of any length is taken whole, in segments. Only the two named columns are read, so others cannot clash; an
+    empty table gives an empty result. `bits`: buckets of the rarity order; `block`: rows of a list on each side that a
+    task compares at once. Jobs run when this is called; the result is read from what they have written.
+    """
+    found = written(_labelled(docs, id_col, text_col, n, percent, bits, block), "labelled")
+    smallest = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least"))
+    out = found.join(smallest, "root", "left")
+    component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least"))
+    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each component, the one of the smallest id; rows repeated whole become one.
+    """`docs` with one row of each component: that of the smallest id, null ids last, then of the least text digest.
 
-    Documents without words are linked with nothing and stay, as do rows with a null id.
+    Rows that agree in id and text are copies, whatever their other columns hold; any one of them stays. Rows without
+    words are linked with nothing and all stay. An id with several texts loses only those rows whose text has a smaller
+    partner. Columns are as in `docs`, whatever their names; an empty table stays empty; a text is compared whole.
     """
-    found = join(docs, id_col, text_col, n, percent)
-    gone = written(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns).dropDuplicates([id_col, text_col])
+    found = written(_labelled(docs, id_col, text_col, n, percent, 18, 512).filter(F.col("root").isNotNull()), "labelled")
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "digest")
+    kept = found.groupBy("root").agg(F.min(rank).alias("kept"))
+    each = found.groupBy("root", "id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    marked = each.join(kept, "root").select("id", "digest", "n", (F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("digest") == F.col("kept.digest"))).alias("stays"))
+    marked = written(marked.filter(~F.col("stays") | (F.col("n") > 1)), "marked")
+
+    key, ident, digest = (free_name(docs, x) for x in ("digest", "id", "text"))
+    given = docs.withColumn(key, F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))))
+    marks = marked.select(F.col("id").alias(ident), F.col("digest").alias(digest), "stays")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(ident)) & (F.col(key) == F.col(digest))
+    out = given.join(marks.drop("stays"), same, "left_anti")
+    again = marks.filter("stays").drop("stays")
+    if not again.isEmpty():
+        out = out.unionByName(given.join(again, same, "left_semi").dropDuplicates([id_col, key]))
+    return out.drop(key)
