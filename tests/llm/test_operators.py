@@ -107,8 +107,9 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = [None, "", "hello world", "two  spaces\n\n x", "<|endoftext|> in text", "word " * 3000, *[f"doc number {i} " * (i % 90) for i in range(200)]]
-    out = packing.pack(docs(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    paths = [public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken")]
+    texts = [None, "", "hello world", "two  spaces\n\n x", "<|endoftext|> in text", "word " * 3000, " " * 2_000_000 + "x", "a" + "\n" * 999 + " b", *[f"doc number {i} " * (i % 90) for i in range(200)]]
+    out = packing.pack(docs(spark, texts), *paths).collect()
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in out:
         by_doc[r["doc_id"]].append(r)
@@ -126,7 +127,7 @@ def test_packing(spark):
             assert offset == at
             at += n
         assert at <= 1024
-    assert packing.pack(docs(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+    assert packing.pack(docs(spark, []), *paths).count() == 0
 
 
 def test_secrets(spark):
