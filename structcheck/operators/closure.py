@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from structcheck.functions.tables import written
 
+PAIR = ["repo", "cls", "anc"]
+
+
+def _composed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of a step of `a` and then one of `b`."""
+    ahead = b.select("repo", F.col("cls").alias("anc"), F.col("anc").alias("far"))
+    return a.join(ahead, ["repo", "anc"]).select("repo", "cls", F.col("far").alias("anc"))
+
 
 def ancestors(parents: DataFrame) -> DataFrame:
     """All pairs (repo, cls, anc) such that `anc` is reached from `cls` by one or more steps of `parents` (repo, cls, parent).
 
-    Path doubling: each round joins the pairs with themselves, so that the number of rounds is the logarithm of the
-    longest path. Cycles are allowed: a class on one is its own ancestor.
+    Path doubling: a round composes the pairs of the last round with all pairs, on both sides, so that the number of
+    rounds is the logarithm of the longest path and no pair is composed with the same one twice. Cycles are allowed: a
+    class on one is its own ancestor. The rounds run when this is called, each is written once and part of the result;
+    an empty relation has an empty closure.
     """
-    pairs = written(parents.select("repo", "cls", F.col("parent").alias("anc")).distinct(), "closure")
-    n = pairs.count()
-    while n:
-        ahead = pairs.select("repo", F.col("cls").alias("anc"), F.col("anc").alias("far"))
-        longer = pairs.join(ahead, ["repo", "anc"]).select("repo", "cls", F.col("far").alias("anc"))
-        pairs = written(pairs.unionByName(longer).distinct(), "closure")
-        before, n = n, pairs.count()
-        if before == n:
-            break
-    return pairs
+    new = written(parents.select("repo", "cls", F.col("parent").alias("anc")).distinct(), "closure")
+    parts = [new]
+    while True:
+        known = reduce(DataFrame.unionByName, parts)
+        longer = _composed(new, known) if len(parts) == 1 else _composed(new, known).unionByName(_composed(known, new))
+        new = written(longer.distinct().join(known, PAIR, "left_anti"), "closure")
+        if new.isEmpty():
+            return known
+        parts.append(new)
 
 
 def first_parent(parents: DataFrame) -> DataFrame:

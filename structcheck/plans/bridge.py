@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from structcheck.functions.tables import written
 from structcheck.functions.text import yes_no
 from structcheck.operators.rules import Instance
 
@@ -21,6 +22,8 @@ bin AS (SELECT repo, 'B' || substr(method, 2) AS binding, cls AS implementer, me
 bod AS (SELECT repo, 'Y' || substr(method, 2) AS body FROM met WHERE q > 1),
 lm AS (SELECT repo, cls, method FROM met UNION ALL SELECT m.repo, p.parent, m.method FROM met m JOIN par p ON p.repo = m.repo AND p.cls = m.cls AND p.ord = 2 WHERE ln = 6),
 la AS (SELECT repo, cls, attribute FROM att),
+obj AS (SELECT DISTINCT repo, 'O' || l_orderkey AS object, CAST(l_orderkey // 3 AS VARCHAR) AS oid, cls
+  FROM lineitem JOIN cls ON k = l_partkey WHERE l_linenumber = 1 OR (l_linenumber = 2 AND l_quantity > 45)),
 im AS (SELECT DISTINCT p.repo, p.cls, m.method FROM par p JOIN met m ON m.repo = p.repo AND m.cls = p.parent WHERE q >= 25 UNION SELECT repo, cls, method FROM met WHERE ln = 6 AND q > 40),
 ia AS (SELECT DISTINCT p.repo, p.cls, a.attribute FROM par p JOIN att a ON a.repo = p.repo AND a.cls = p.parent UNION SELECT repo, cls, attribute FROM att WHERE ord % 10 = 1 AND scope = 'Static')
 """
@@ -70,9 +73,18 @@ def attributes(cls: DataFrame) -> DataFrame:
     )
 
 
-def instance(spark: SparkSession, sf_dir: str) -> Instance:
-    cls = classifiers(spark, sf_dir)
-    par, met, att = parents(cls), methods(spark, sf_dir, cls), attributes(cls)
+def objects(spark: SparkSession, sf_dir: str, cls: DataFrame) -> DataFrame:
+    line = _read(spark, sf_dir, "lineitem").filter("l_linenumber = 1 OR (l_linenumber = 2 AND l_quantity > 45)")
+    met = line.join(cls.select("repo", "cls", F.col("k").alias("l_partkey")), "l_partkey")
+    order = F.col("l_orderkey")
+    return met.select("repo", F.concat(F.lit("O"), order).alias("object"), F.floor(order / 3).cast("long").cast("string").alias("oid"), "cls").distinct()
+
+
+def instance(spark: SparkSession, sf_dir: str, keep: bool = False) -> Instance:
+    """All relations; with `keep`, classes, parents, methods and attributes are written once, the others are read from them."""
+    kept = written if keep else (lambda df, _: df)
+    cls = kept(classifiers(spark, sf_dir), "classifiers")
+    par, met, att = kept(parents(cls), "parents"), kept(methods(spark, sf_dir, cls), "methods"), kept(attributes(cls), "attributes")
     first, second = (par.filter(F.col("ord") == i).select("repo", "cls", "parent") for i in (1, 2))
 
     def tail(prefix: str):
@@ -97,4 +109,5 @@ def instance(spark: SparkSession, sf_dir: str) -> Instance:
         local_attributes=att.select("repo", "cls", "attribute"),
         inherited_methods=im,
         inherited_attributes=ia,
+        objects=objects(spark, sf_dir, cls),
     )

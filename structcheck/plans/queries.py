@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from structcheck.functions import text
+from structcheck.functions import numbers, text
 from structcheck.operators import catalog, closure, inherit, rules
-from structcheck.sources import extraction, instance_text, python_source
+from structcheck.sources import catalog_pages, extraction, instance_text, listing, python_source, sinks
 from structcheck.streaming import progress
 
 from . import bridge
@@ -21,17 +21,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules that read one small relation once; for others the instance is written first.
+LIGHT = {"chk_duplicate_names", "chk_cycle", "chk_local_attr_namespace", "chk_inherited_attr_conflict", "chk_static_abstract", "spec_abstract_instances", "spec_object_classes", "spec_unique_oids"}
+
+
 def _check(name: str) -> Query:
-    return lambda spark, sf_dir: rules.REGISTRY[name].check(bridge.instance(spark, sf_dir))
+    return lambda spark, sf_dir: rules.REGISTRY[name].check(bridge.instance(spark, sf_dir, keep=name not in LIGHT))
 
 
-#: Rules whose violations the reports below gather, as their SQL has them; the whole_* reports gather those of every rule.
-REPORTED = ["chk_duplicate_names", "chk_static_abstract", "chk_abstract_in_concrete", "chk_missing_binding", "chk_abstract_has_body", "chk_orphan_body", "chk_local_namespace", "chk_cycle"]
+def _reported(spark: SparkSession, sf_dir: str, form: str | None = "checker") -> tuple[DataFrame, DataFrame]:
+    """The violations of all rules of the checker (of every rule without `form`), and the repositories."""
+    m = bridge.instance(spark, sf_dir, keep=True)
+    return rules.violations(m, rules.names_of(form)), m.classifier.select("repo").distinct()
 
 
-def _reported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    m = bridge.instance(spark, sf_dir)
-    return rules.violations(m, REPORTED), m.classifier.select("repo").distinct()
+def _dead(spark: SparkSession, found: DataFrame, form: str | None) -> DataFrame:
+    names = sorted({rules.REGISTRY[n].invariant for n in rules.names_of(form)})
+    fired = rules.known(found, names).select("invariant").distinct()
+    return spark.createDataFrame([(i,) for i in names], "invariant string").join(fired, "invariant", "left_anti")
 
 
 def repo_verdict(spark, sf_dir):
@@ -59,31 +66,28 @@ def audit_matrix(spark, sf_dir):
 
 
 def audit_dead(spark, sf_dir):
-    """Invariants of the registry that never fire."""
-    found, _ = _reported(spark, sf_dir)
-    names = spark.createDataFrame([(i,) for i in sorted({r.invariant for r in rules.REGISTRY.values()})], "invariant string")
-    return names.join(found.select("invariant").distinct(), "invariant", "left_anti")
-
-
-def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    m = bridge.instance(spark, sf_dir)
-    return rules.violations(m, list(rules.REGISTRY)), m.classifier.select("repo").distinct()
+    """Invariants of the checker that never fire."""
+    return _dead(spark, _reported(spark, sf_dir)[0], "checker")
 
 
 def whole_verdict(spark, sf_dir):
     """As repo_verdict, from every rule of the registry."""
-    return rules.verdicts(*_whole(spark, sf_dir))
+    return rules.verdicts(*_reported(spark, sf_dir, None))
 
 
 def whole_matrix(spark, sf_dir):
     """As violation_matrix, from every rule of the registry."""
-    return _whole(spark, sf_dir)[0].groupBy("repo", "invariant", "check_name").agg(F.count(F.lit(1)).alias("n"))
+    return _reported(spark, sf_dir, None)[0].groupBy("repo", "invariant", "check_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def whole_dead(spark, sf_dir):
     """Invariants of the registry that never fire when every rule is run."""
-    names = spark.createDataFrame([(i,) for i in sorted({r.invariant for r in rules.REGISTRY.values()})], "invariant string")
-    return names.join(_whole(spark, sf_dir)[0].select("invariant").distinct(), "invariant", "left_anti")
+    return _dead(spark, _reported(spark, sf_dir, None)[0], None)
+
+
+def all_violations(spark, sf_dir):
+    """The report of the checker: every violation of every rule."""
+    return _reported(spark, sf_dir)[0]
 
 
 def report_read(spark, sf_dir):
@@ -145,9 +149,12 @@ def dup_id_pairs(spark, sf_dir):
 
 
 def binding_wide(spark, sf_dir):
+    """Bindings from tuples of three relations, of which the last of a binding counts: before each there is another one."""
     b = bridge.instance(spark, sf_dir).binding
-    rel = b.select("repo", "binding", F.explode(F.create_map(F.lit("implementer"), "implementer", F.lit("target"), "target", F.lit("body"), "body")).alias("relation", "dst"))
-    pick = [F.max(F.when(F.col("relation") == r, F.col("dst"))).alias(r) for r in ("implementer", "target", "body")]
+    names = ("implementer", "target", "body")
+    given = F.array(*[F.struct(F.lit(n).alias("relation"), F.lit(p).alias("pos"), (F.lit("ZZ") if p == 0 else F.col(n)).alias("dst")) for n in names for p in (0, 1)])
+    rel = b.select("repo", "binding", F.explode(given).alias("t")).select("repo", "binding", "t.*")
+    pick = [F.max_by(F.when(F.col("relation") == n, F.col("dst")), F.when(F.col("relation") == n, F.col("pos"))).alias(n) for n in names]
     return rel.groupBy("repo", "binding").agg(*pick)
 
 
@@ -215,7 +222,7 @@ def map_attribute(spark, sf_dir):
 
 
 def map_binding(spark, sf_dir):
-    return extraction.bindings(extraction.methods(extraction.load_types(_extraction(spark, sf_dir))))
+    return extraction.bindings(extraction.load_types(_extraction(spark, sf_dir)))
 
 
 def rel_parents(spark, sf_dir):
@@ -246,7 +253,7 @@ def _catalog(spark, sf_dir) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("language"), F.col("p_brand").alias("license"), F.col("p_size").alias("stars"), F.col("p_retailprice").alias("size"))
 
 
-SEARCH = catalog.Criteria(keywords="a", licenses=("Brand#11", "Brand#12", "Brand#23"), min_stars=10, max_stars=45, limit=50)
+SEARCH = catalog.Criteria(keywords="a", licenses=("Brand#11", "Brand#12", "Brand#23"), min_stars=10, max_stars=45, sort="STARS", limit=50)
 
 
 def catalog_search(spark, sf_dir):
@@ -273,25 +280,29 @@ def url_normalize(spark, sf_dir):
 
 
 def distinct_repos(spark, sf_dir):
-    return _table(spark, sf_dir, "part").select(F.lower("p_brand").alias("repo")).distinct()
+    return _table(spark, sf_dir, "part").select(F.lower("p_brand").alias("repo")).distinct().orderBy("repo")
 
 
 def queue_dedup(spark, sf_dir):
     return _table(spark, sf_dir, "events").groupBy(F.lower("event_type").alias("kind"), "user_id").agg(F.min("event_id").alias("first_id"))
 
 
+def _offers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Keys of a queue and of what is offered to it; names with a number, in small letters."""
+    c = _catalog(spark, sf_dir).withColumn("key", F.lower(F.concat_ws("/", "name", (F.col("id") % 97).cast("string"))))
+    return c.filter("stars > 25").select("key").distinct(), c.filter("stars <= 25").select("key")
+
+
 def queue_merge(spark, sf_dir):
     """Catalogue names that the queue does not hold yet, without regard to case."""
-    c = _catalog(spark, sf_dir)
-    queue = c.filter("stars > 25").select(F.lower("name").alias("key")).distinct()
-    return c.filter("stars <= 25").select(F.lower("name").alias("key")).distinct().join(queue, "key", "left_anti")
+    queue, offered = _offers(spark, sf_dir)
+    return offered.distinct().join(queue, "key", "left_anti")
 
 
 def queue_merge_stats(spark, sf_dir):
-    c = _catalog(spark, sf_dir)
-    queue = c.filter("stars > 25").select(F.upper("name").alias("name"), F.lower("name").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("held"))
-    offered = c.filter("stars <= 25").select(F.lower("name").alias("key"))
-    return offered.join(queue, "key", "left").agg(F.count_if(F.col("held").isNull()).alias("added"), F.count_if(F.col("held").isNotNull()).alias("duplicate"))
+    queue, offered = _offers(spark, sf_dir)
+    joined = offered.join(queue.withColumn("held", F.lit(True)), "key", "left")
+    return joined.agg(F.count_if(F.col("held").isNull()).alias("added"), F.count_if(F.col("held").isNotNull()).alias("duplicate"))
 
 
 def latest_status(spark, sf_dir):
@@ -322,15 +333,22 @@ def file_filter(spark, sf_dir):
 
 
 def fingerprint(spark, sf_dir):
-    """A digest of each source's files: the digest of the ordered digests."""
-    files = _table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    g = files.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("f"))
-    return g.select("source", F.sha2(F.array_join(F.transform("f", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["h"])), "\n"), 256).alias("fingerprint"))
+    """A digest of each source's files: a tree of digests over ranges of 1,000 files, of 1,000 such ranges, and of all,
+    so that no group holds more than a thousand of them but the last. verify_key: the digest with the options of a check."""
+    h = F.sha2(F.coalesce("text", F.lit("")), 256)
+    level = _table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("k"), F.concat_ws(":", F.col("doc_id").cast("string"), h).alias("h"))
+    for _ in range(2):
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"])
+        level = level.withColumn("up", F.floor(F.col("k") / 1000)).groupBy("source", "up").agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("h")).select("source", F.col("up").alias("k"), "h")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"])
+    whole = level.groupBy("source").agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("fingerprint"))
+    return whole.select("source", "fingerprint", F.sha2(F.concat("fingerprint", F.lit("|compliance=17|rules=checker")), 256).alias("verify_key"))
 
 
 def combined_report(spark, sf_dir):
-    m = bridge.instance(spark, sf_dir)
-    return rules.violations(m, ["chk_static_abstract", "chk_cycle", "chk_duplicate_names"]).select(F.lower("repo").alias("repository"), "invariant", "description")
+    """The report rows of all repositories in one table, with the repository before each."""
+    found, repos = _reported(spark, sf_dir)
+    return sinks.result_rows(found, repos).withColumn("repository", F.lower("repository"))
 
 
 def invariant_lookup(spark, sf_dir):
@@ -342,21 +360,211 @@ def invariant_lookup(spark, sf_dir):
 
 
 def existing_state(spark, sf_dir):
-    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"))
-    o = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.max(F.col("o_orderstatus") == "F").alias("report"))
-    return c.join(o, "item", "left").select("item", F.col("report").isNotNull().alias("extracted"), F.coalesce("report", F.lit(False)).alias("reported"))
+    """Which output folders hold an extraction and which a report, from the names of their files."""
+    c, o = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    name = lambda key, kind: F.concat(F.lit("out/"), F.col(key).cast("string"), F.lit(f"/{kind}.json")).alias("path")
+    paths = c.select(name("c_custkey", "extraction")).unionByName(o.select(name("o_custkey", "report"))).unionByName(c.select(name("c_custkey", "notes")))
+    return listing.existing(paths)
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    """Python files made from the part table; some do not parse, some repeat the classes of others."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    body = F.concat(
+        F.lit("from abc import ABC, abstractmethod\nclass Base"), k, F.lit("(ABC):\n    limit: int = 1\n    _kind = 'x'\n    @abstractmethod\n    def run(self, a: str, b) -> int: ...\nclass C"), k,
+        F.lit("(Base"), k, F.lit(", lib.Mixin):\n    __slots = 1\n    def __init__(self, x: int): ...\n    @staticmethod\n    def make"), size,
+        F.lit("(cls, n: pkg.Size) -> 'C': ...\n    def _run(self): return 1\n    async def skip(self): ...\n    class Inner: pass\n"),
+        F.when(F.col("p_partkey") % 17 == 0, F.lit("def (\n")).otherwise(""),
+    )
+    p = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("repo"), F.col("p_partkey").alias("k"), F.concat(F.lit("f"), k, F.lit(".py")).alias("path"), body.alias("content"))
+    again = p.filter("k % 5 = 0").select("repo", "k", F.concat(F.lit("again/"), "path").alias("path"), "content")
+    return p.unionByName(again).select("repo", "path", "content")
 
 
 def extract_py(spark, sf_dir):
-    body = F.concat(F.lit("from abc import ABC, abstractmethod\nclass Base"), F.col("p_partkey"), F.lit("(ABC):\n    @abstractmethod\n    def run(self): ...\nclass C"), F.col("p_partkey"), F.lit("(Base"), F.col("p_partkey"), F.lit("):\n    def __init__(self): ...\n    def run(self): return 1\n"))
-    files = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("repo"), F.concat(F.lit("f"), F.col("p_partkey"), F.lit(".py")).alias("path"), body.alias("content"))
-    return python_source.extract(files).select("repo", "path", "qualifiedName", "kind", "superClass", "abstractType", "methods")
+    t = python_source.extract(_sources(spark, sf_dir))
+    methods = F.size(F.filter("executables", lambda e: ~e["constructor"])).cast("long").alias("methods")
+    return t.select("repo", "path", "qualifiedName", "kind", "superClass", F.array_join("interfaces", ",").alias("interfaces"), "abstractType", methods)
+
+
+def extract_py_members(spark, sf_dir):
+    """Fields and executables of Python classes: visibility, static flag and parameter types."""
+    t = python_source.extract(_sources(spark, sf_dir))
+    f = t.select("repo", "path", "qualifiedName", F.explode("fields").alias("m")).select("repo", "path", "qualifiedName", F.lit("field").alias("member"), "m.name", "m.type", "m.visibility", F.lit(False).alias("static"), F.lit("").alias("params"))
+    e = t.select("repo", "path", "qualifiedName", F.explode("executables").alias("m"))
+    params = F.array_join(F.transform("m.parameters", lambda p: F.concat_ws(":", p["name"], p["type"])), ",").alias("params")
+    return f.unionByName(e.select("repo", "path", "qualifiedName", F.lit("executable").alias("member"), "m.name", F.col("m.returnType").alias("type"), "m.visibility", F.col("m.staticExecutable").alias("static"), params))
+
+
+def dedup_types(spark, sf_dir):
+    """Of types of one name in a repository, the first by path."""
+    return python_source.first_of_name(python_source.extract(_sources(spark, sf_dir))).select("repo", "qualifiedName", "path")
+
+
+def type_count(spark, sf_dir):
+    return extraction.type_count(_extraction(spark, sf_dir))
+
+
+def sort_types(spark, sf_dir):
+    """Types of each document by name, with their members in order."""
+    t = extraction.in_order(_extraction(spark, sf_dir))
+    return t.select("repo", F.col("pos").cast("long").alias("pos"), "qualifiedName", F.array_join("fields", ",").alias("fields"), F.coalesce(F.array_join("executables", ";"), F.lit("")).alias("executables"))
+
+
+def extraction_json(spark, sf_dir):
+    """Documents read, written as JSON and read again."""
+    again = extraction.load_types(extraction.to_documents(extraction.load_types(_extraction(spark, sf_dir))))
+    return again.groupBy("repo").agg(F.count(F.lit(1)).alias("n_types"), F.max(F.col("method_base")).cast("long").alias("method_base"), F.max(F.col("body_base")).cast("long").alias("body_base"))
+
+
+def rel_local_methods(spark, sf_dir):
+    return extraction.local_methods(extraction.load_types(_extraction(spark, sf_dir)))
+
+
+def rel_local_attributes(spark, sf_dir):
+    return extraction.local_attributes(extraction.load_types(_extraction(spark, sf_dir)))
+
+
+def param_signature(spark, sf_dir):
+    t = extraction.signatures(extraction.load_types(_extraction(spark, sf_dir)))
+    return t.groupBy("repo", "signature").agg(F.count(F.lit(1)).alias("n"))
+
+
+def aie_render(spark, sf_dir):
+    """The lines of the instance texts, by part and place; lists of a repository as their length."""
+    t = instance_text.text_lines(extraction.load_types(_extraction(spark, sf_dir)))
+    return t.filter(F.col("part").between(1, 5)).groupBy("repo", "part").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+
+
+def aie_round_trip(spark, sf_dir):
+    """Instance texts mapped from documents, read again: classes and methods of each repository."""
+    found = instance_text.lines(instance_text.from_documents(_extraction(spark, sf_dir)))
+    m = instance_text.to_instance(found)
+    sides = [m.classifier.select("repo", F.lit("classifier").alias("kind"), "name"), m.method.select("repo", F.lit("method").alias("kind"), F.col("member_name").alias("name"))]
+    sides += [m.binding.select("repo", F.lit("binding").alias("kind"), F.col("target").alias("name")), m.local_methods.select("repo", F.lit("local").alias("kind"), F.col("method").alias("name"))]
+    whole = sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
+    return whole.groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("names"))
+
+
+def _static_report(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    m = bridge.instance(spark, sf_dir, keep=True)
+    return rules.violations(m, ["chk_static_abstract", "chk_cycle", "chk_duplicate_names"]), m.classifier.select("repo").distinct()
+
+
+def report_json(spark, sf_dir):
+    return sinks.report_json(*_static_report(spark, sf_dir))
+
+
+def result_csv(spark, sf_dir):
+    return sinks.csv_lines(sinks.result_rows(*_static_report(spark, sf_dir)))
+
+
+def results_for_repo(spark, sf_dir):
+    return sinks.for_repository(sinks.result_rows(*_static_report(spark, sf_dir)), "BRAND#13")
+
+
+def summary_txt(spark, sf_dir):
+    return sinks.summary(sinks.result_rows(*_static_report(spark, sf_dir)))
+
+
+def error_verdict(spark, sf_dir):
+    """Verdicts where some methods have no name: the checker cannot finish such a repository."""
+    m = bridge.instance(spark, sf_dir, keep=True)
+    lost = (F.col("ord") % 10000 == 3) & (F.substring("repo", -1, 1) == "1")
+    m = m._replace(method=m.method.withColumn("member_name", F.when(~lost, F.col("member_name"))))
+    return rules.verdicts(rules.violations(m, ["chk_static_abstract", "chk_cycle"]), m.classifier.select("repo").distinct(), rules.broken(m))
+
+
+def compat_first_id(spark, sf_dir):
+    """The first repeated id of each repository: of a class before a method before an attribute."""
+    m = bridge.instance(spark, sf_dir, keep=True)
+    parts = []
+    for i, (df, ident, atom) in enumerate(((m.classifier, "cid", "cls"), (m.method, "mid", "method"), (m.attribute, "aid", "attribute"))):
+        n = F.row_number().over(Window.partitionBy("repo", ident).orderBy("ord", atom))
+        again = df.withColumn("n", n).filter("n > 1")
+        parts.append(again.groupBy("repo").agg(F.min(F.struct(F.lit(i).alias("kind"), F.col("ord").cast("long").alias("ord"), F.col(atom).alias("atom"), F.col(ident).alias("ident"))).alias("f")))
+    first = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("repo").agg(F.min("f").alias("f"))
+    return first.select("repo", "f.atom", "f.ident")
+
+
+def compat_first_cycle(spark, sf_dir):
+    """The first class of each repository that lies on a cycle."""
+    cls = bridge.classifiers(spark, sf_dir)
+    on = closure.ancestors(bridge.parents(cls)).filter(F.col("cls") == F.col("anc")).select("repo", "cls")
+    return cls.join(on, ["repo", "cls"], "left_semi").groupBy("repo").agg(F.min_by("cls", "rn").alias("cls"))
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    """A catalogue with all columns that a search can ask for."""
+    i = F.col("id")
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (i % 900).cast("int")), "yyyy-MM-dd")
+    return _catalog(spark, sf_dir).select(
+        "id", "name", F.when(i % 4 == 0, F.concat(F.lit("A tool for "), F.col("language"))).alias("description"), "language", "license", "stars", F.col("size").cast("long").alias("size"),
+        (i % 50).alias("forks"), (i % 9 == 0).alias("fork"), (i % 11 == 0).alias("archived"), F.concat(F.lit("Owner"), i % 20).alias("owner"),
+        F.array(F.concat(F.lit("t"), i % 6), F.lit("data")).alias("topics"), day.alias("created_at"), F.concat(day, F.lit("T10:00:00Z")).alias("pushed_at"),
+    )
+
+
+FILTERED = catalog.Criteria(keywords="tool", owner="user:owner8", topic="data", max_forks=45, created_after="2020-06-01", pushed_after="2020-06-02", fork="EXCLUDE", archived="EXCLUDE", limit=1000)
+
+
+def catalog_filters(spark, sf_dir):
+    return catalog.search(_items(spark, sf_dir), FILTERED).select("id", "owner", "forks", "created_at")
+
+
+def catalog_selected(spark, sf_dir):
+    """Rows that are not selected, as inverting a selection makes them."""
+    c = _catalog(spark, sf_dir).select("id", "name", "stars")
+    return catalog.inverted(c, c.filter("stars > 25"))
+
+
+def catalog_scan(spark, sf_dir):
+    """Pages of 20 items as a paged interface gives them, read until a short page, the total or 90 rows."""
+    i = _catalog(spark, sf_dir).filter("id < 400").withColumn("page", F.floor(F.col("id") / 20).cast("int"))
+    item = F.struct("id", "name", F.when(F.col("stars") % 2 == 0, F.col("stars")).alias("stargazers_count"), F.when(F.col("stars") % 3 == 0, F.struct(F.col("license").alias("spdx_id"))).alias("license"), F.when(F.col("id") % 5 == 0, True).alias("fork"))
+    pages = i.groupBy("page").agg(F.to_json(F.struct(F.lit(70).alias("total_count"), F.array_sort(F.collect_list(item)).alias("items"))).alias("value"))
+    return catalog_pages.scan(pages, 20, 90).select("pos", "id", "name", "stars", "license", "fork", "owner")
+
+
+def catalog_page_count(spark, sf_dir):
+    n = _catalog(spark, sf_dir).groupBy("license").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("license", "n", numbers.page_count(F.col("n"), 20).alias("pages"))
+
+
+def source_roots(spark, sf_dir):
+    k = F.col("doc_id")
+    path = F.when(k % 5 == 0, F.concat(F.lit("mod"), k % 7, F.lit("/src/main/java/a/F.java"))).when(k % 5 == 1, "build/src/main/java/G.java").when(k % 5 == 2, F.concat(F.lit("mod"), k % 3, F.lit("/src/test/java/T.java"))).otherwise("README.md")
+    files = _table(spark, sf_dir, "documents").select(F.concat_ws("-", F.coalesce("source", F.lit("none")), (k % 4).cast("string")).alias("repo"), path.alias("path"))
+    return listing.source_roots(files, include_tests=True)
+
+
+def url_list(spark, sf_dir):
+    k, url = F.col("page_id"), F.col("url")
+    line = F.when(k % 5 == 0, F.concat(F.lit("# "), url)).when(k % 5 == 1, F.lit("   ")).when(k % 5 == 2, F.concat(F.lit("  "), url, F.lit("\t"))).otherwise(url)
+    return listing.addresses(_table(spark, sf_dir, "pages").select(line.alias("value"))).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def progress_percent(spark, sf_dir):
+    """Rounded progress of each customer's orders, with a negative count taken as none."""
+    o = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count(F.lit(1)).alias("total"))
+    return o.select("o_custkey", numbers.percent(F.col("done"), F.col("total")).alias("percent"), numbers.at_least_zero(F.col("done") - 3).alias("beyond"))
+
+
+def date_parse(spark, sf_dir):
+    """Instants written as text, some of them broken, and seconds, read again."""
+    o, k = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(k % 7 == 0, F.lit("yesterday")).otherwise(F.concat(day, F.lit("T10:30:00Z")))
+    return o.select("o_orderkey", F.unix_seconds(numbers.instant(text)).alias("instant"), F.unix_seconds(numbers.epoch(k * 3600)).alias("epoch"), F.date_format(numbers.day(F.when(k % 5 == 0, "5 May").otherwise(day)), "yyyy-MM-dd").alias("day"))
 
 
 NAMED = [
     repo_verdict, violation_matrix, verdict_counts, repo_summary, audit_matrix, audit_dead, whole_verdict, whole_matrix, whole_dead, report_read, result_rows, ancestor_closure, first_parent, ancestor_chain, subtype_pairs, inherited_methods, inherited_attributes, available_members, dup_id_pairs,
     binding_wide, atom_kind, compat_local_namespace, compat_first_duplicate, load_types, map_classifier, map_method, map_attribute, map_binding, rel_parents, aie_atoms, aie_attrs, aie_tuples, catalog_search, catalog_topk, catalog_page, catalog_parse, url_normalize,
     distinct_repos, queue_dedup, queue_merge, queue_merge_stats, latest_status, queue_ready, status_timeline, language_vote, file_filter, fingerprint, combined_report, invariant_lookup, existing_state, extract_py,
+    all_violations, extract_py_members, dedup_types, type_count, sort_types, extraction_json, rel_local_methods, rel_local_attributes, param_signature, aie_render, aie_round_trip,
+    report_json, result_csv, results_for_repo, summary_txt, error_verdict, compat_first_id, compat_first_cycle, catalog_filters, catalog_selected, catalog_scan, catalog_page_count,
+    source_roots, url_list, progress_percent, date_parse,
 ]
 
 

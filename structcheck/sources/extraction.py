@@ -2,61 +2,172 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from structcheck.functions.arrays import length, let, running
 from structcheck.functions.text import identifier, param_signature, truth, yes_no
 
 #: Flags are read as strings, since a document may quote them.
-SCHEMA = (
-    "schemaVersion string, projectName string, repository string, types array<struct<qualifiedName:string,simpleName:string,kind:string,superClass:string,interfaces:array<string>,"
-    "fields:array<struct<name:string,type:string,visibility:string,staticField:string,finalField:string>>,"
-    "executables:array<struct<name:string,returnType:string,visibility:string,constructor:string,staticExecutable:string,abstractExecutable:string,parameters:array<struct<name:string,type:string>>>>,"
-    "abstractType:string,finalType:string,sourceFile:string>>"
+FIELD = "struct<name:string,type:string,visibility:string,staticField:string,finalField:string>"
+PARAMETER = "struct<name:string,type:string>"
+EXECUTABLE = (
+    "struct<name:string,returnType:string,visibility:string,constructor:string,staticExecutable:string,"
+    f"abstractExecutable:string,parameters:array<{PARAMETER}>>"
+)
+TYPE = (
+    "struct<qualifiedName:string,simpleName:string,kind:string,superClass:string,interfaces:array<string>,"
+    f"fields:array<{FIELD}>,executables:array<{EXECUTABLE}>,abstractType:string,finalType:string,sourceFile:string>"
 )
+SCHEMA = f"schemaVersion string, projectName string, repository string, types array<{TYPE}>"
+
+
+@dataclass(frozen=True)
+class Options:
+    """What an extraction is asked for; a ValueError says what is not allowed."""
+
+    compliance: int = 17
+    depth: int = 1
+    include_tests: bool = False
+
+    def __post_init__(self) -> None:
+        if not 8 <= self.compliance <= 23:
+            raise ValueError("a compliance level is from 8 to 23")
+        if self.depth < 1:
+            raise ValueError("a clone depth is 1 at least")
+
+
+def _concrete(e: Column) -> Column:
+    """Whether an executable gets a body: no constructor, not abstract."""
+    return ~truth(e["constructor"]) & ~truth(e["abstractExecutable"])
+
+
+def _parsed(documents: DataFrame) -> DataFrame:
+    return documents.select("repo", F.from_json("value", SCHEMA).alias("d"))
 
 
 def load_types(documents: DataFrame) -> DataFrame:
-    """`documents` (repo, value): repo, tpos and the fields of each type. A document that is no JSON or has no types gives none."""
-    parsed = documents.select("repo", F.from_json("value", SCHEMA).alias("d"))
-    return parsed.select("repo", F.posexplode("d.types").alias("tpos", "t")).select("repo", "tpos", "t.*")
+    """`documents` (repo, value): repo, tpos, the numbers of members before the type in its document, and its fields.
+
+    The numbers are method_base (executables), field_base and body_base (executables with a body); they are summed within
+    the document. A document that is no JSON or has no types gives none.
+    """
+    def numbered(types: Column) -> Column:
+        counts = [
+            F.transform(types, lambda t: length(t["executables"])), F.transform(types, lambda t: length(t["fields"])),
+            F.transform(types, lambda t: length(F.filter(t["executables"], _concrete))),
+        ]
+        sums = F.struct(*[running(c, lambda x, y: x + y).alias(n) for c, n in zip(counts, "efb")], *[c.alias(f"n{n}") for c, n in zip(counts, "efb")])
+
+        def row(s: Column) -> Column:
+            before = lambda n, i: F.get(s[n], i) - F.get(s[f"n{n}"], i)
+            return F.transform(types, lambda t, i: F.struct(t.alias("t"), before("e", i).alias("e"), before("f", i).alias("f"), before("b", i).alias("b")))
+
+        return let(sums, row)
+
+    rows = _parsed(documents).filter(F.size("d.types") > 0).select("repo", F.posexplode(let(F.col("d.types"), numbered)).alias("tpos", "x"))
+    return rows.select("repo", "tpos", F.col("x.e").alias("method_base"), F.col("x.f").alias("field_base"), F.col("x.b").alias("body_base"), "x.t.*")
+
+
+def type_count(documents: DataFrame) -> DataFrame:
+    """Types of each document: (repo, n_types), 0 for one without any."""
+    return _parsed(documents).select("repo", length(F.col("d.types")).cast("long").alias("n_types"))
+
+
+def _atom(prefix: str, number: Column | str) -> Column:
+    return F.concat(F.lit(prefix), number)
 
 
 def classifiers(types: DataFrame) -> DataFrame:
-    return types.select("repo", F.concat(F.lit("Classifier"), "tpos").alias("cls"), "tpos", identifier(F.col("qualifiedName")).alias("cid"), F.col("qualifiedName").alias("name"), yes_no(truth(F.col("abstractType"))).alias("is_abstract"))
+    return types.select(
+        "repo", _atom("Classifier", "tpos").alias("cls"), "tpos", identifier(F.col("qualifiedName")).alias("cid"),
+        F.col("qualifiedName").alias("name"), yes_no(truth(F.col("abstractType"))).alias("is_abstract"),
+    )
 
 
 def parents(types: DataFrame) -> DataFrame:
     """An edge for each type whose superclass is a type of the document; of types of one name the last counts."""
-    last = types.groupBy("repo", "qualifiedName").agg(F.max("tpos").alias("ppos")).select("repo", F.col("qualifiedName").alias("superClass"), "ppos")
-    return types.join(last, ["repo", "superClass"]).select("repo", F.concat(F.lit("Classifier"), "tpos").alias("src"), F.concat(F.lit("Classifier"), "ppos").alias("dst"))
+    last = types.groupBy("repo", "qualifiedName").agg(F.max("tpos").alias("ppos"))
+    last = last.select("repo", F.col("qualifiedName").alias("superClass"), "ppos")
+    return types.join(last, ["repo", "superClass"]).select("repo", _atom("Classifier", "tpos").alias("src"), _atom("Classifier", "ppos").alias("dst"))
 
 
-def _inheritable(visibility):
+def _inheritable(visibility: Column) -> Column:
     return yes_no(~F.coalesce(F.lower(visibility) == "private", F.lit(False)))
 
 
+def _static(flag: Column) -> Column:
+    return F.when(truth(flag), "Static").otherwise("Instance")
+
+
 def methods(types: DataFrame) -> DataFrame:
     """Method atoms. Constructors count in the numbering and give no atom."""
-    rows = types.select("repo", "tpos", F.posexplode("executables").alias("epos", "e"))
-    n = F.row_number().over(Window.partitionBy("repo").orderBy("tpos", "epos")) - 1
-    atoms = rows.select("repo", "tpos", "epos", n.alias("ord"), "e.*").filter(~truth(F.col("constructor")))
-    return atoms.select(
-        "repo", F.concat(F.lit("Classifier"), "tpos").alias("cls"), F.concat(F.lit("Method"), "ord").alias("method"), "tpos", "epos", F.col("name").alias("member_name"), F.coalesce("returnType", F.lit("void")).alias("return_type"),
-        param_signature(F.transform("parameters", lambda p: p["type"])).alias("param_types"), _inheritable(F.col("visibility")).alias("is_inheritable"), F.when(truth(F.col("staticExecutable")), "Static").otherwise("Instance").alias("scope"), yes_no(truth(F.col("abstractExecutable"))).alias("is_abstract"),
+    rows = types.select("repo", "tpos", "method_base", F.posexplode("executables").alias("epos", "e")).filter(~truth(F.col("e.constructor")))
+    number = F.col("method_base") + F.col("epos")
+    return rows.select(
+        "repo", _atom("Classifier", "tpos").alias("cls"), _atom("Method", number).alias("method"), "tpos", "epos",
+        F.col("e.name").alias("member_name"), F.coalesce("e.returnType", F.lit("void")).alias("return_type"),
+        param_signature(F.transform("e.parameters", lambda p: p["type"])).alias("param_types"),
+        _inheritable(F.col("e.visibility")).alias("is_inheritable"), _static(F.col("e.staticExecutable")).alias("scope"),
+        yes_no(truth(F.col("e.abstractExecutable"))).alias("is_abstract"),
     )
 
 
 def attributes(types: DataFrame) -> DataFrame:
-    rows = types.select("repo", "tpos", F.posexplode("fields").alias("fpos", "f"))
-    n = F.row_number().over(Window.partitionBy("repo").orderBy("tpos", "fpos")) - 1
+    rows = types.select("repo", "tpos", "field_base", F.posexplode("fields").alias("fpos", "f"))
     return rows.select(
-        "repo", F.concat(F.lit("Classifier"), "tpos").alias("cls"), F.concat(F.lit("Attribute"), n).alias("attribute"), F.col("f.name").alias("member_name"), F.coalesce("f.type", F.lit("Object")).alias("type"), _inheritable(F.col("f.visibility")).alias("is_inheritable"), F.when(truth(F.col("f.staticField")), "Static").otherwise("Instance").alias("scope"),
+        "repo", _atom("Classifier", "tpos").alias("cls"), _atom("Attribute", F.col("field_base") + F.col("fpos")).alias("attribute"),
+        F.col("f.name").alias("member_name"), F.coalesce("f.type", F.lit("Object")).alias("type"),
+        _inheritable(F.col("f.visibility")).alias("is_inheritable"), _static(F.col("f.staticField")).alias("scope"),
     )
 
 
-def bindings(method_atoms: DataFrame) -> DataFrame:
-    """A body and a binding for each method that is not abstract, numbered without gaps."""
-    n = F.row_number().over(Window.partitionBy("repo").orderBy("tpos", "epos")) - 1
-    concrete = method_atoms.filter(F.col("is_abstract") == "No")
-    return concrete.select("repo", F.concat(F.lit("ImplementationBinding"), n).alias("binding"), F.col("cls").alias("implementer"), F.col("method").alias("target"), F.concat(F.lit("MethodBody"), n).alias("body"))
+def bindings(types: DataFrame) -> DataFrame:
+    """A body and a binding for each executable with a body, numbered without gaps."""
+    placed = F.filter(F.transform("executables", lambda e, i: F.when(_concrete(e), i)), lambda i: i.isNotNull())
+    rows = types.select("repo", "tpos", "method_base", "body_base", F.posexplode(placed).alias("bpos", "epos"))
+    number = F.col("body_base") + F.col("bpos")
+    return rows.select(
+        "repo", _atom("ImplementationBinding", number).alias("binding"), _atom("Classifier", "tpos").alias("implementer"),
+        _atom("Method", F.col("method_base") + F.col("epos")).alias("target"), _atom("MethodBody", number).alias("body"),
+    )
+
+
+def local_methods(types: DataFrame) -> DataFrame:
+    """Tuples (repo, src, dst) of classes and their methods."""
+    return methods(types).select("repo", F.col("cls").alias("src"), F.col("method").alias("dst"))
+
+
+def local_attributes(types: DataFrame) -> DataFrame:
+    return attributes(types).select("repo", F.col("cls").alias("src"), F.col("attribute").alias("dst"))
+
+
+def signatures(types: DataFrame) -> DataFrame:
+    """(repo, qualified_name, signature) of each executable: its name and parameter types."""
+    rows = types.select("repo", "qualifiedName", F.explode("executables").alias("e"))
+    of = param_signature(F.transform("e.parameters", lambda p: p["type"]))
+    return rows.select("repo", F.col("qualifiedName").alias("qualified_name"), F.concat("e.name", F.lit("("), of, F.lit(")")).alias("signature"))
+
+
+def in_order(documents: DataFrame) -> DataFrame:
+    """(repo, pos, qualifiedName, fields, executables, interfaces): types by name and source file, those without a file
+    first; their fields by name, executables by name and parameter types, interfaces by name."""
+    def members(t: Column) -> Column:
+        signature = lambda e: F.concat(e["name"], F.lit("("), param_signature(F.transform(e["parameters"], lambda p: p["type"])), F.lit(")"))
+        return F.struct(
+            t["qualifiedName"].alias("qualifiedName"), F.coalesce(t["sourceFile"], F.lit("")).alias("file"),
+            F.array_sort(F.transform(t["fields"], lambda f: f["name"])).alias("fields"),
+            F.array_sort(F.transform(t["executables"], signature)).alias("executables"), F.array_sort(t["interfaces"]).alias("interfaces"),
+        )
+
+    rows = _parsed(documents).select("repo", F.posexplode(F.array_sort(F.transform("d.types", members))).alias("pos", "t"))
+    return rows.select("repo", "pos", "t.qualifiedName", "t.fields", "t.executables", "t.interfaces")
+
+
+def to_documents(types: DataFrame, version: str = "1.0") -> DataFrame:
+    """One JSON document (repo, value) for each repository of `types` (repo, tpos and the fields of TYPE)."""
+    fields = [c for c in types.columns if c not in ("repo", "tpos", "method_base", "field_base", "body_base")]
+    each = types.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("tpos", F.struct(*fields).alias("t")))).alias("all"))
+    return each.select("repo", F.to_json(F.struct(F.lit(version).alias("schemaVersion"), F.transform("all", lambda x: x["t"]).alias("types"))).alias("value"))

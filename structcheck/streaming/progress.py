@@ -15,4 +15,4 @@ def timeline(events: DataFrame, late: str | None = None) -> DataFrame:
 
 def latest(events: DataFrame) -> DataFrame:
     """The last status of each item: user_id, status, at."""
-    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("event_id").alias("last_id"))
+    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"))

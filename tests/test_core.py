@@ -41,7 +41,7 @@ def test_extraction_document(spark):
     m = extraction.methods(types)
     assert rows(m.select("method", "return_type", "param_types", "is_inheritable")) == [("Method1", "void", "int, T", "No")]
     assert rows(extraction.parents(types)) == [("r", "Classifier1", "Classifier0")]
-    assert rows(extraction.bindings(m).select("binding", "target")) == [("ImplementationBinding0", "Method1")]
+    assert rows(extraction.bindings(types).select("binding", "target")) == [("ImplementationBinding0", "Method1")]
     assert rows(extraction.attributes(types).select("attribute", "type", "scope")) == [("Attribute0", "Object", "Instance")]
 
 
@@ -57,6 +57,12 @@ def test_python_source():
     found = python_source.types_of("import abc\nclass A(abc.ABC):\n  class N: pass\nclass B(A, C): pass\n")
     assert [(t["qualifiedName"], t["kind"], t["superClass"]) for t in found] == [("A", "interface", None), ("A.N", "class", None), ("B", "class", "A")]
     assert python_source.types_of("class (") == []
+    t = python_source.types_of("class K(Exception, lib.M, N, G[int], metaclass=abc.ABCMeta):\n  x: p.T = 1\n  _a__b = _c = 2\n  def __init__(self, n: int): ...\n  @classmethod\n  def of(cls, q, r: R) -> K: ...\n  async def no(self): ...\n  def f(self):\n    class L: ...\n")
+    assert [(x["qualifiedName"], x["kind"], x["superClass"], x["interfaces"]) for x in t] == [("K", "interface", "M", ["N", ""]), ("K.L", "class", None, [])]
+    assert [(f["name"], f["type"], f["visibility"]) for f in t[0]["fields"]] == [("x", "T", "public"), ("_a__b", "unknown", "public"), ("_c", "unknown", "protected")]
+    assert [(e["name"], e["returnType"], e["visibility"], e["constructor"], e["staticExecutable"], [p["type"] for p in e["parameters"]]) for e in t[0]["executables"]] == [
+        ("__init__", "None", "private", True, False, ["int"]), ("of", "K", "public", False, True, ["unknown", "R"]), ("f", "None", "public", False, False, []),
+    ]
 
 
 def test_criteria():
