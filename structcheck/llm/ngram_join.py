@@ -11,9 +11,10 @@ Only connectivity is asked for, so pairs within a known component need no test.
 pair by pair; of longer lists each node is first tested against one hub alone. What a list then still holds of several
 components is compared across components, whole: its largest component against its other nodes, and these among
 themselves, in blocks of bounded size, each pair of blocks a task of its own. No list is held whole, and none is capped.
-Blocks compare coarse histograms; nodes with a candidate left get a histogram of as many bins as their set needs, which
-almost only links pass. First each pair of blocks gives a forest of its closest candidates, fewer than it has nodes.
-These are verified and merge components; then all candidates across the components that are left are verified too.
+Blocks compare coarse histograms. What has a candidate left in its pair of blocks is compared again, by histograms of as
+many bins as a set needs, which almost only links pass. First each pair of blocks gives a forest of its closest
+candidates, fewer than it has nodes. These are verified and merge components; then all candidates across the components
+that are left are verified too.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from .common import discard, free_name, written
 from .components import components
 
 SEGMENT = 1 << 19
-#: Bins of the coarse histogram that every set has, and the most of a fine one.
-BINS, MOST_BINS = 128, 1 << 14
+#: Bins of a histogram: the fewest, and the most of a fine one; a coarse one has an eighth of a fine one's.
+BINS, MOST_BINS = 128, 1 << 15
 #: Lists of up to SHORT nodes are tested pair by pair, longer ones against hubs.
 SHORT = 3
 #: Grams of a node that tell whether two nodes have met in a list before.
@@ -172,14 +173,21 @@ def need(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def histogram(s: np.ndarray, bins: int = BINS) -> bytes:
-    """Numbers of hashes by their low bits, at most 255 each; bins is a power of two."""
+def bins_for(size: int, fine: bool) -> int:
+    """Bins of a set's histogram: a power of two, of at least twice its size if fine, a quarter if coarse, in bounds."""
+    wide = max(BINS, 1 << (2 * size - 1).bit_length())
+    return min(MOST_BINS, wide) if fine else min(MOST_BINS, max(8 * BINS, wide)) // 8
+
+
+def histogram(s: np.ndarray, fine: bool = False) -> bytes:
+    """Numbers of hashes by their low bits, at most 255 each."""
+    bins = bins_for(len(s), fine)
     return np.minimum(np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
 
 
-def fine_bins(size: int) -> int:
-    """Bins of a set's fine histogram: a power of two of at least twice its size, within bounds."""
-    return min(MOST_BINS, max(BINS, 1 << (2 * size - 1).bit_length()))
+def folded(hist: np.ndarray, bins: int) -> np.ndarray:
+    """Histograms of fewer bins, a power of two: the sums of those that agree in the low bits."""
+    return hist.reshape(len(hist), -1, bins).sum(1, dtype=np.int32)
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, counts: np.ndarray) -> DataFrame:
@@ -228,17 +236,26 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFra
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(n), shared.value
+        shingler, seen, given = Shingler(n), shared.value, set()
         for b in batches:
             p = b.column(0).to_numpy()
-            texts = b.column(1).filter(pa.array((seen[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)))
-            for _, some in _batches(texts):
-                found = list(shingler.sets(some))
-                fp = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
-                yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["fp", "set"])
-
-    passed = docs.select(place(id_col).alias("p"), F.col(text_col)).mapInArrow(run, "fp binary, set array<long>")
-    out = written(passed.join(wanted.select("node", "fp"), "fp").dropDuplicates(["fp"]).select("node", "set"), "sets")
+            b = b.filter(pa.array((seen[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)))
+            for at, some in _batches(b.column(2)):
+                made = list(shingler.sets(some))
+                fp = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in made]
+                ids = b.column(1).slice(at, len(some))
+                first = [i for i, k in enumerate(zip(ids.to_pylist(), fp)) if k not in given and not given.add(k)]
+                columns = [ids.take(pa.array(first, pa.int64())), pa.array([fp[i] for i in first], pa.binary()), pa.array([made[i].view(np.int64) for i in first], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "set"])
+
+    given_rows = docs.select(place(id_col).alias("p"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    passed = given_rows.mapInArrow(run, f"id {given_rows.schema['id'].dataType.simpleString()}, fp binary, set array<long>")
+    met = passed.join(wanted.select("node", "least", F.col("fp").alias("print")), (F.col("fp") == F.col("print")) & F.col("id").eqNullSafe(F.col("least")))
+    out = written(met.select("node", "set"), "sets")
+    if out.count() > many:  # rows of one id and one text, each of which has passed
+        once, repeated = written(out.dropDuplicates(["node"]), "sets"), out
+        discard(repeated)
+        out = once
     discard(wanted)
     return out
 
@@ -255,12 +272,16 @@ def close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
             total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            ha, hb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for i in (4, 5))
-            keep = pa.array(np.abs(ha - hb).sum(1) * (100 + percent) <= (100 - percent) * total)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            lengths = np.array([[len(x) for x in batch.column(i).to_pylist()] for i in (4, 5)], dtype=np.int64).reshape(2, -1)
+            keep = np.zeros(len(batch), dtype=bool)
+            for la, lb in {*zip(*lengths.tolist())}:
+                at = np.flatnonzero((lengths[0] == la) & (lengths[1] == lb))
+                sides = [np.frombuffer(b"".join(batch.column(i).take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(len(at), -1) for i in (4, 5)]
+                ha, hb = (folded(x, min(la, lb)) for x in sides)
+                keep[at] = np.abs(ha - hb).sum(1) * (100 + percent) <= (100 - percent) * total[at]
+            some = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some)], ["a", "b"])
 
     return given.select("a", "b", "sa", "sb", "ha", "hb").mapInArrow(run, "a long, b long")
 
@@ -336,11 +357,6 @@ def tiles(placed: DataFrame, block: int, total: int) -> DataFrame:
     return rows.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "size", "pos")
 
 
-def folded(hist: np.ndarray, bins: int) -> np.ndarray:
-    """Histograms of fewer bins, a power of two."""
-    return hist.reshape(len(hist), -1, bins).sum(1, dtype=np.int32)
-
-
 class Side:
     """One block of a tile as arrays, its rows in the order of their sizes."""
 
@@ -351,15 +367,14 @@ class Side:
         cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(rows)]
         #: Rows from, to, and their histograms, for each number of bins.
         self.parts = [(p, q, np.frombuffer(b"".join(r[8] for r in rows[p:q]), dtype=np.uint8).reshape(q - p, -1)) for p, q in zip(cuts, cuts[1:])]
-        self.coarse = np.concatenate([folded(m, BINS) for _, _, m in self.parts]).astype(np.int16)
         self.early = [set(r[9][: r[9].index(gram)] if gram in r[9] else r[9]) for r in rows] if len(rows[0]) > 9 else []
 
     def hist(self, i: int) -> np.ndarray:
-        return next(m[i - p] for p, q, m in self.parts if i < q)
+        return next(m[i - p : i - p + 1] for p, q, m in self.parts if i < q)
 
 
 def alike(a: Side, b: Side, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of `a`, the rows of `b` that pass the filters by component, length, position and histogram.
+    """For each row of `a`, the rows of `b` that pass the filters by component, length and position.
 
     The position filter takes nothing shared to lie before. That holds in the first list that two nodes share, where
     every link passes; in later ones it may drop a pair that has been given out already.
@@ -368,44 +383,42 @@ def alike(a: Side, b: Side, percent: int) -> Iterator[tuple[int, np.ndarray]]:
         low, high = np.searchsorted(b.size, [need(int(a.size[i]), percent), int(a.size[i]) * 100 // percent + 1])
         if a is b:
             low = max(low, i + 1)
-        if low >= high:
-            continue
-        sizes = b.size[low:high]
-        total = a.size[i] + sizes
-        ok = (b.comp[low:high] != a.comp[i]) & (np.minimum(a.size[i] - a.pos[i], sizes - b.pos[low:high]) >= -(-percent * total // (100 + percent)))
-        js = np.flatnonzero(ok) + low
-        if len(js):
-            far = np.abs(b.coarse[js] - a.coarse[i]).sum(1, dtype=np.int64)
-            js = js[far * (100 + percent) <= (100 - percent) * (a.size[i] + b.size[js])]
-        if len(js):
-            yield i, js
-
-
-def near_nodes(a: Side, b: Side, percent: int) -> np.ndarray:
-    """The nodes of a tile that have a candidate in it."""
-    out = [np.zeros(0, dtype=np.int64)]
-    for i, js in alike(a, b, percent):
-        out += [a.node[i : i + 1], b.node[js]]
-    return np.unique(np.concatenate(out))
+        if low < high:
+            sizes = b.size[low:high]
+            least = -(-percent * (a.size[i] + sizes) // (100 + percent))
+            js = np.flatnonzero((b.comp[low:high] != a.comp[i]) & (np.minimum(a.size[i] - a.pos[i], sizes - b.pos[low:high]) >= least)) + low
+            if len(js):
+                yield i, js
 
 
-def candidates(a: Side, b: Side, percent: int) -> Iterator[tuple[int, int, int]]:
-    """The pairs of a tile that pass the fine histograms too and have met in no earlier list: distance, row, row."""
+def candidates(a: Side, b: Side, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of `a`, the rows of `b` whose histograms pass too, and their distances."""
     for i, js in alike(a, b, percent):
-        mine = a.hist(i)[None, :]
+        mine = a.hist(i)
         for p, q, theirs in b.parts:
             some = js[(js >= p) & (js < q)]
-            if not len(some):
-                continue
             bins = min(mine.shape[1], theirs.shape[1])
-            far = np.abs(folded(theirs[some - p], bins) - folded(mine, bins)).sum(1)
-            ok = far * (100 + percent) <= (100 - percent) * (a.size[i] + b.size[some])
-            yield from ((int(d), i, int(j)) for d, j in zip(far[ok], some[ok]) if a.early[i].isdisjoint(b.early[j]))
+            for n in (max(BINS, bins // 8), bins):
+                if len(some):
+                    far = np.abs(folded(theirs[some - p], n) - folded(mine, n)).sum(1)
+                    ok = far * (100 + percent) <= (100 - percent) * (a.size[i] + b.size[some])
+                    some, far = some[ok], far[ok]
+            if len(some):
+                yield i, some, far
+
+
+def near_rows(a: Side, b: Side, percent: int) -> list[np.ndarray]:
+    """The nodes of each block of a tile that have a candidate in it."""
+    met = [np.zeros(len(x.node), dtype=bool) for x in ([a] if a is b else [a, b])]
+    for i, js, _ in candidates(a, b, percent):
+        met[0][i] = True
+        met[-1][js] = True
+    return [x.node[m] for x, m in zip([a, b], met)]
 
 
 def near_pairs(a: Side, b: Side, percent: int, forest: bool) -> tuple[list[int], list[int]]:
-    """The candidates of a tile, or of them a forest over components, the closest first."""
-    found: Iterator[tuple[int, int, int]] | list = candidates(a, b, percent)
+    """The candidates of a tile that have met in no earlier list, or of them a forest over components, the closest first."""
+    found = [(int(d), i, int(j)) for i, js, far in candidates(a, b, percent) for d, j in zip(far, js) if a.early[i].isdisjoint(b.early[j])]
     if forest:
         root: dict[int, int] = {}
 
@@ -426,48 +439,52 @@ def near_pairs(a: Side, b: Side, percent: int, forest: bool) -> tuple[list[int],
 
 
 def across(rows: DataFrame, percent: int, want: str) -> DataFrame:
-    """What the tiles of `rows` hold: ``nodes`` with a candidate (node), ``pairs`` or a ``forest`` of them (a, b).
+    """What the tiles of `rows` hold: their ``rows`` that have a candidate in the tile, ``pairs`` or a ``forest`` (a, b).
 
     `rows`: gram, lo, hi, block, node, comp, size, pos, hist and, for pairs, early (the first of the node's prefix
     n-grams that have lists). A task takes its tiles one after the other, so it holds two blocks at a time.
     """
-    pairs = want != "nodes"
+    pairs = want != "rows"
     cols = ["gram", "lo", "hi", "block", "node", "comp", "size", "pos", "hist"] + (["early"] if pairs else [])
     given = rows.select(*cols).repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi")
-    names = ["a", "b"] if pairs else ["node"]
+    names = ["a", "b"] if pairs else cols[:8]
+    schema = "a long, b long" if pairs else given.select(*cols[:8]).schema
+    kinds = [pa.int32() if n in ("lo", "hi", "block", "size", "pos") else pa.int64() for n in names]
 
-    def found(held: list[tuple]) -> list[list[int]]:
+    def found(held: list[tuple]) -> list[tuple]:
         gram, lo, hi = held[0][:3]
         sides = [[r for r in held if r[3] == x] for x in dict.fromkeys((lo, hi))]
         if not all(sides) or len({r[5] for r in held}) < 2:
-            return [[] for _ in names]
+            return []
         blocks = [Side(s, gram) for s in sides]
         if pairs:
-            return [*near_pairs(blocks[0], blocks[-1], percent, want == "forest")]
-        return [near_nodes(blocks[0], blocks[-1], percent).tolist()]
+            return [*zip(*near_pairs(blocks[0], blocks[-1], percent, want == "forest"))]
+        met = [set(x.tolist()) for x in near_rows(blocks[0], blocks[-1], percent)]
+        return [r[:8] for m, s in zip(met, sides) for r in s if r[4] in m]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        out: list[list[int]] = [[] for _ in names]
+        out: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names)
+            columns = list(zip(*out)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names)
 
         for b in batches:
             for at in range(0, len(b), 512):
                 for row in zip(*(c.to_pylist() for c in b.slice(at, 512).columns)):
                     if held and row[:3] != held[0][:3]:
-                        out = [x + y for x, y in zip(out, found(held))]
+                        out += found(held)
                         held = []
-                        if len(out[0]) > 50_000:
+                        if len(out) > 50_000:
                             yield batch()
-                            out = [[] for _ in names]
+                            out = []
                     held.append(row)
         if held:
-            out = [x + y for x, y in zip(out, found(held))]
+            out += found(held)
         yield batch()
 
-    return given.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return given.mapInArrow(run, schema)
 
 
 def fine(sets: DataFrame) -> DataFrame:
@@ -475,7 +492,7 @@ def fine(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hists = [histogram(np.asarray(s.values).view(np.uint64), fine_bins(len(s))) for s in b.column(1)]
+            hists = [histogram(s.values.to_numpy().view(np.uint64), True) for s in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hists, pa.binary())], ["node", "hist"])
 
     return sets.select("node", "set").mapInArrow(run, "node long, hist binary")
@@ -509,20 +526,23 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     discard(made, near)
 
     rest = written(tiles(with_components(long, known), block, total), "tiles")
-    close = written(across(rest.join(classes.select("node", "hist"), "node"), percent, "nodes").distinct(), "close")
-    made = sets(close)
+    close = written(across(rest.join(classes.select("node", "hist"), "node"), percent, "rows"), "close")
+    nodes = close.select("node").distinct()
+    made = sets(nodes)
     order = F.array_sort(F.collect_list(F.struct("pos", "gram")))
-    early = lists.join(close, "node").groupBy("node").agg(F.transform(F.slice(order, 1, EARLY), lambda x: x["gram"]).alias("early"))
+    early = lists.join(nodes, "node").groupBy("node").agg(F.transform(F.slice(order, 1, EARLY), lambda x: x["gram"]).alias("early"))
     described = written(fine(made).join(early, "node"), "fine")
-    for want in ("forest", "pairs"):
-        more = written(across(rest.join(described, "node"), percent, want).distinct(), "pairs")
-        links = written(verified(more, made, percent), "links")
+    forest = written(across(close.join(described, "node"), percent, "forest").distinct(), "pairs")
+    links = written(verified(forest, made, percent), "links")
+    known = merged(known, links)
+    tile = ["gram", "lo", "hi"]
+    left = with_components(close.drop("comp"), known)
+    mixed = left.groupBy(*tile).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y")).select(*tile)
+    more = written(across(left.join(mixed, tile, "left_semi").join(described, "node"), percent, "pairs").distinct(), "pairs")
+    links = written(verified(more, made, percent), "links")
+    if not links.isEmpty():
         known = merged(known, links)
-        discard(more)
-        if want == "forest":
-            left = lists.join(close, "node", "left_semi").filter(F.col("n") > SHORT)
-            rest = written(tiles(with_components(left, known), block, total), "tiles")
-    discard(made, rest, close, described, lists, active)
+    discard(made, rest, close, described, forest, more, lists, active)
 
     rooted = classes.select("fp", "node").join(known, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     return base.select("id", "digest", "fp", "size").join(rooted, "fp", "left").select("id", "digest", "size", "root")
