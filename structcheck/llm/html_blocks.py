@@ -2,10 +2,11 @@
 
 A page is cut into blocks of text at every tag that is not inline. A block has a word count and a link density (the
 share of its words inside links), those of the block before and after it, and what its surroundings say: whether a
-landmark such as ``nav`` or ``footer`` encloses it, whether an enclosing class, id or role names boilerplate, whether
-an ``article`` or ``main`` encloses it, and whether it is a heading. The tree is grown from LABELLED, a small table of
-labelled blocks, when the operator is called; it decides which blocks are the article, but those of an ``article`` or
-``main`` that no landmark or name encloses always are.
+landmark such as ``nav`` or ``footer`` encloses it, whether an enclosing class, id or role is a name of boilerplate (2
+for names that mean nothing else, such as comments, 1 for those that an article may have too, such as tags), whether an
+``article`` or ``main`` encloses it, and whether it is a heading. The tree is grown from the labelled blocks of PAGES, a
+small table of page layouts, when the operator is called; it decides which blocks are the article, but those of an
+``article`` or ``main`` that no landmark or name encloses always are.
 """
 
 from __future__ import annotations
@@ -36,8 +37,16 @@ INLINE = frozenset(
 )
 CONTAINERS = frozenset("html body article main section div nav header footer aside form menu dialog fieldset ul ol li dl dt dd table tbody thead tfoot tr td th blockquote figure figcaption details summary center button pre address search".split())
 LANDMARKS = frozenset("nav footer aside form menu dialog fieldset button search head".split())
+#: Names of boilerplate, those that an article may have too, and words of layout that go with either.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus disclaimer footer form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies reply respond rail search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar widget contentinfo complementary dialog alert alertdialog".split()
+    "ad ads adv advert adverts advertisement advertising alert alertdialog banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright"
+    " dialog disclaimer disqus footer form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion replies"
+    " reply respond sidebar signup skip sponsor sponsored subscribe subscription".split()
+)
+WEAK_NAMES = frozenset("rail recommended related search share sharing social tag tags teaser toolbar".split())
+LAYOUT = frozenset(
+    "area article bar block blog body bottom box col column container content desktop entry group inner item items left link links list main mobile outer page panel post reader"
+    " right row section site slot small story text title top unit user widget wrap wrapper".split()
 )
 ARTICLE = frozenset({"article", "main"})
 
@@ -52,12 +61,21 @@ class Block(NamedTuple):
     heading: int
 
 
-def _named(attrs: str, in_article: bool) -> bool:
+def _named(attrs: str, in_article: bool) -> int:
+    """2 if a class, id or role is a name of boilerplate, or the element is hidden, 1 if it is a weak one, else 0.
+
+    A name counts if it is made of names and words of layout alone: notice-of-appeal is none.
+    """
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    tokens = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", " ".join(found.get(k, "") for k in ("class", "id", "role"))).lower()))
-    return bool(tokens & NAMES) or (not in_article and "header" in tokens)
+        return 2
+    level = 0
+    for token in " ".join(found.get(k, "") for k in ("class", "id", "role")).split():
+        words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if len(w) > 1}
+        rest = words - LAYOUT
+        if rest and rest <= NAMES | WEAK_NAMES | ({"header"} if not in_article else set()):
+            level = max(level, 1 if rest <= WEAK_NAMES else 2)
+    return level
 
 
 def blocks(page: str) -> list[Block]:
@@ -115,7 +133,8 @@ def blocks(page: str) -> list[Block]:
             _, landmark, named, article = stack[-1]
             article |= name in ARTICLE
             landmark |= name in LANDMARKS or (name == "header" and not article)
-            named |= bool(m[4]) and name not in ("html", "body") and _named(m[4], bool(article))
+            if m[4] and name not in ("html", "body"):
+                named = max(named, _named(m[4], bool(article)))
             stack.append((name, int(landmark), int(named), int(article)))
     add(page[at:])
     flush()
@@ -131,33 +150,51 @@ def features(found: list[Block]) -> list[tuple]:
     return [(b.words, b.links, *size[i], *size[i + 2], b.landmark, b.named, b.article, b.heading) for i, b in enumerate(found)]
 
 
-#: Labelled blocks: FEATURES, then 1 for a block of the article.
-LABELLED = [
-    # menus, headers and footers
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0, 0), (9, 0.0, 3, 1.0, 60, 0.0, 1, 0, 0, 0, 0), (12, 0.2, 40, 0.0, 0, 0.0, 1, 0, 0, 0, 0),
-    (40, 0.0, 80, 0.0, 30, 0.0, 1, 0, 0, 0, 0), (25, 0.0, 5, 1.0, 12, 0.0, 1, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 5, 1.0, 1, 0, 0, 1, 0), (7, 0.0, 50, 0.0, 4, 1.0, 1, 0, 1, 0, 0), (60, 0.0, 70, 0.0, 45, 0.0, 1, 0, 1, 0, 0),
-    (5, 1.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0, 0), (15, 0.0, 2, 1.0, 60, 0.0, 0, 1, 0, 0, 0), (3, 0.0, 30, 0.0, 8, 0.5, 1, 1, 0, 1, 0), (80, 0.0, 70, 0.0, 65, 0.0, 1, 1, 0, 0, 0),
-    # adverts, notices, sidebars and reader comments, whose words read like the article's
-    (7, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0, 0, 0), (34, 0.1, 60, 0.0, 20, 0.0, 0, 1, 0, 0, 0), (55, 0.0, 70, 0.0, 45, 0.0, 0, 1, 1, 0, 0), (90, 0.0, 20, 0.0, 50, 0.0, 0, 1, 1, 0, 0), (2, 0.0, 80, 0.0, 60, 0.0, 0, 1, 1, 1, 0), (120, 0.0, 90, 0.0, 0, 0.0, 0, 1, 0, 0, 0),
-    (4, 0.0, 40, 0.0, 33, 0.0, 0, 1, 1, 0, 0), (12, 1.0, 45, 0.0, 9, 1.0, 0, 1, 1, 0, 0), (1, 0.0, 12, 0.0, 14, 0.0, 0, 1, 1, 0, 0),
-    # the article in its own element: titles, short and long paragraphs, a link alone, a quotation
-    (8, 0.0, 5, 0.0, 40, 0.0, 0, 0, 1, 1, 1), (60, 0.0, 8, 0.0, 55, 0.0, 0, 0, 1, 0, 1), (1, 0.0, 60, 0.0, 40, 0.0, 0, 0, 1, 0, 1), (3, 0.0, 45, 0.1, 0, 0.0, 0, 0, 1, 0, 1), (22, 0.3, 35, 0.0, 41, 0.0, 0, 0, 1, 0, 1), (5, 1.0, 35, 0.0, 41, 0.0, 0, 0, 1, 0, 1),
-    (14, 0.0, 7, 0.0, 12, 0.0, 0, 0, 1, 0, 1), (300, 0.0, 9, 0.0, 7, 1.0, 0, 0, 1, 0, 1), (30, 0.5, 20, 0.2, 30, 0.0, 0, 0, 1, 0, 1), (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 1, 0, 1), (1, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0, 1), (6, 0.0, 1, 1.0, 3, 0.0, 0, 0, 1, 1, 1),
-    (5, 0.0, 90, 0.0, 10, 1.0, 0, 0, 1, 0, 1), (18, 0.0, 200, 0.0, 150, 0.0, 0, 0, 1, 0, 1), (7, 0.2, 14, 0.0, 9, 0.0, 0, 0, 1, 0, 1),
-    # lists of links on pages without such an element
-    (4, 1.0, 5, 1.0, 6, 1.0, 0, 0, 0, 0, 0), (8, 1.0, 60, 0.0, 7, 1.0, 0, 0, 0, 0, 0), (6, 1.0, 9, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
-    # pages without such an element: running text and its headings against scraps
-    (70, 0.0, 12, 0.0, 65, 0.0, 0, 0, 0, 0, 1), (45, 0.1, 70, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (16, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 1, 1.0, 70, 0.0, 0, 0, 0, 1, 1), (6, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 1, 1), (28, 0.0, 8, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (24, 0.2, 50, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    (20, 0.9, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 4, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (10, 0.8, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0), (6, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (40, 0.7, 5, 1.0, 30, 0.6, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 5, 1.0, 0, 0, 0, 1, 0),
+#: Labelled blocks in their pages: {label:words} is a block of so many words, {label:words/linked} has so many in links.
+PAGES = [
+    # an article of its own element, with menus and footers round it
+    "<nav><ul><li>{0:1/1}</li><li>{0:2/2}</li><li>{0:1/1}</li></ul></nav><div class=ad>{0:7}</div><article><h1>{1:8}</h1><p>{1:60}</p><p>{1:55}</p><p>{1:3}</p><p>{1:140}</p></article><footer>{0:9}</footer>",
+    "<header><div>{0:3/3}</div><nav>{0:6/6}</nav></header><main><h1>{1:5}</h1><p>{1:1}</p><p>{1:22}</p><ul><li>{1:9}</li><li>{1:4}</li></ul></main><aside><h3>{0:2}</h3><p>{0:25/4}</p></aside><footer><p>{0:12/5}</p></footer>",
+    "<article><h2>{1:6}</h2><p>{1:200/6}</p><aside>{0:45}</aside><blockquote>{1:30}</blockquote><table><tr><td>{1:2}</td><td>{1:1}</td></tr></table><footer>{0:7}</footer></article>",
+    "<article><h1>{1:7}</h1><div class=ad>{0:14}</div><p>{1:80}</p><div class=newsletter>{0:20}<form>{0:3}</form></div><p>{1:12}</p></article><section class=comments><p>{0:55}</p><p>{0:8}</p><p>{0:120}</p></section>",
+    "<main><p>{1:70}</p><ul><li>{1:6/6}</li><li>{1:5/5}</li></ul><p>{1:40}</p><div class=comments><h3>{0:2}</h3><p>{0:90}</p></div></main>",
+    "<article><p>{1:35}</p><div class=share>{0:3/3}</div><p>{1:50}</p><div class=tags>{0:2/1}{0:0}</div><div class=related><h4>{0:2}</h4><ul><li>{0:8/8}</li><li>{0:6/6}</li></ul></div></article>",
+    # notices, banners and hidden text
+    "<div class=cookie-notice>{0:34/2}</div><div id=banner>{0:10}</div><h1>{1:9}</h1><p>{1:65}</p><p>{1:48}</p><p>{1:75}</p><div class=copyright>{0:8}</div>",
+    "<div hidden>{0:40}</div><div role=dialog>{0:25}</div><article><p>{1:90}</p><p hidden>{1:11}</p></article>",
+    "<div class=sidebar><p>{0:60}</p><p>{0:44}</p></div><div class=content><p>{1:85}</p><p>{1:52}</p></div>",
+    "<div class=sponsored><h3>{0:6}</h3><p>{0:70}</p></div><div><h1>{1:6}</h1><p>{1:110}</p><p>{1:64}</p></div><div class=replies><p>{0:66}</p><p>{0:18}</p></div>",
+    # names that an article may have too, round its text and round boilerplate
+    "<div class=related><p>{1:60}</p><p>{1:60}</p></div>", "<div class=share><p>{1:75}</p><p>{1:38}</p><p>{1:50}</p></div><div class=social>{0:4/4}</div>",
+    "<div class='tags story'><h1>{1:7}</h1><p>{1:60}</p><p>{1:58}</p></div><div class=tags>{0:3/3}</div>", "<div class=search>{0:2}</div><div><p>{1:95}</p><p>{1:40}</p></div><div class=toolbar>{0:5}</div>",
+    "<div class=recommended><ul><li>{0:9/9}</li><li>{0:7/7}</li><li>{0:11/11}</li></ul></div><div class=teaser>{0:12/5}</div><div><p>{1:130}</p></div>",
+    # pages without an element for the article: running text and its headings against scraps and lists of links
+    "<div>{0:2/2}</div><div>{0:3/3}</div><div>{0:1/1}</div><h1>{1:9}</h1><p>{1:70}</p><p>{1:8}</p><p>{1:66}</p><p>{1:16}</p><p>{1:45/4}</p><div>{0:6}</div><div>{0:3/3}</div>",
+    "<table><tr><td>{0:2/2}</td><td>{0:2/2}</td></tr></table><div><h2>{1:5}</h2><p>{1:50}</p><h2>{1:6}</h2><p>{1:44}</p><p>{1:28}</p></div><div>{0:4/4}</div><div>{0:2/2}</div>",
+    "<div><p>{1:300}</p><p>{1:12}</p><p>{1:250}</p></div><div>{0:5}</div><div>{0:3/3}</div><div>{0:4/3}</div>", "<p>{1:24/5}</p><p>{1:50}</p><p>{1:33}</p><div>{0:9/8}</div><div>{0:20/18}</div>",
+    "<div>{0:4/4}</div><div>{0:4}</div><div>{0:3/3}</div><div>{0:40/28}</div><div>{0:5/5}</div><div>{0:10/8}</div>", "<ul><li>{0:8/8}</li><li>{0:6/6}</li><li>{0:9/9}</li></ul><p>{1:80}</p><p>{1:61}</p><ul><li>{0:7/7}</li><li>{0:4/4}</li></ul>",
+    "<h1>{1:4}</h1><div>{0:3}</div><div>{0:2/2}</div><p>{1:42}</p><p>{1:57}</p>", "<div>{0:1/1}</div><div>{0:12/9}</div><p>{1:36}</p><p>{1:120}</p><p>{1:18}</p><p>{1:90}</p><div>{0:6/6}</div>",
+    "<p>{1:47}</p>", "<p>{1:20}</p><p>{1:31}</p>", "<h2>{0:4}</h2><ul><li>{0:3/3}</li><li>{0:5/5}</li></ul>", "<div>{0:2}</div><div>{0:3}</div><div>{0:2/2}</div>",
 ]
-#: The same texts of any length, beside neighbours of any length, by what encloses them: landmark, named, article, label.
-LABELLED += [
-    (words, 0.0, before, 0.0, after, 0.0, *where)
-    for words in (1, 3, 8, 20, 60, 250)
-    for before in (0, 2, 8, 45)
-    for after in (0, 3, 9, 50)
-    for where in ((0, 0, 1, 0, 1), (0, 1, 1, 0, 0), (1, 0, 0, 0, 0), (0, 1, 0, 0, 0), (1, 0, 1, 0, 0))
-]
+
+
+def labelled(pages: list[str]) -> list[tuple]:
+    """FEATURES and the label of each block of such pages."""
+    out = []
+    for page in pages:
+        labels: list[int] = []
+
+        def block(m: re.Match) -> str:
+            words, linked = int(m[2]), int(m[3] or 0)
+            if words:
+                labels.append(int(m[1]))
+            return " ".join(["word"] * (words - linked)) + (f" <a href=x>{' '.join(['word'] * linked)}</a>" if linked else "")
+
+        found = blocks(re.sub(r"\{([01]):(\d+)(?:/(\d+))?\}", block, page))
+        if len(found) != len(labels):
+            raise ValueError(f"{len(labels)} labels for {len(found)} blocks: {page}")
+        out += [(*row, label) for row, label in zip(features(found), labels)]
+    return out
 
 
 def grow(rows: list[tuple], depth: int = 8) -> tuple:
@@ -198,12 +235,14 @@ def main_text(page: str | None, tree: tuple) -> str:
     return "\n".join(b.text for b, row in zip(found, features(found)) if is_article(tree, row))
 
 
-def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", labelled: list[tuple] | None = None) -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", examples: list[str] | None = None) -> DataFrame:
     """`pages` without `html_col`, with the main text as `text_col`; a column of that name is replaced.
 
-    A null or empty page has an empty text. One pass, nothing is shuffled; a worker holds one page at a time.
+    A null or empty page has an empty text; repeated rows and other columns, whatever their names, pass as they are; an
+    empty table stays empty. One pass, nothing is shuffled; a worker holds one page at a time, whatever its length.
+    `examples`: pages with labels to grow the tree from, as PAGES.
     """
-    tree = grow(labelled or LABELLED)
+    tree = grow(labelled(PAGES if examples is None else examples))
     kept = [c for c in pages.columns if c not in (html_col, text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,20 +59,29 @@ def test_sharding(spark):
 
 
 def choices(text, k=5, w=16):
-    def h31(h):
-        return h >> 33
-
-    def chain(hs):
+    """Fingerprints word by word, with the rolling hash rolled."""
+    mask = 2**64 - 1
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    turn = lambda x, r: (x << r | x >> (64 - r)) & mask if r else x
+    mixed = lambda x: xxhash.xxh64(x.to_bytes(8, "little"), seed=42).intdigest()
+    unspaced = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+    words = re.findall(rf"[{unspaced}]|[^ \t\n\x0b\f\r{unspaced}]+", text)
+    hs = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in words]
+    if not hs:
+        return []
+    if len(hs) < k:
         seed = 42
         for h in hs:
             seed = xxhash.xxh64(h.to_bytes(8, "little"), seed=seed).intdigest()
-        return seed
-
-    words = [p for x in re.split(r"[ \t\n\x0b\f\r]+", text) if x for p in (x if len(x) > 32 else [x])]
-    hs = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in words]
-    grams = [h31(chain(hs[i : i + k])) for i in range(len(hs) - k + 1)] if len(hs) >= k else [h31(chain(hs))] if hs else []
-    if not grams:
-        return []
+        grams = [signed(seed)]
+    else:
+        grams, roll = [], 0
+        for i, h in enumerate(hs):
+            roll = turn(roll, 1) ^ h
+            if i >= k:
+                roll ^= turn(hs[i - k], k)
+            if i >= k - 1:
+                grams.append(signed(mixed(roll)))
     w = min(w, len(grams))
     picked = [max((i for i in range(j, j + w) if grams[i] == min(grams[j : j + w]))) for j in range(len(grams) - w + 1)]
     return [f"{grams[i]}:{i}" for i in dict.fromkeys(picked)]
@@ -82,6 +91,7 @@ def test_fingerprints(spark):
     rng = np.random.default_rng(3)
     words = ["a", "be", "cee", "dé", "e" * 40, "f"]
     texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 4, 5, 30, 200)] + [None, "", "  x ", "same same same same same same same same same", "same same same same same same same same same"]
+    texts += [f"two words {'x' * n} and some more of them" for n in (31, 32, 33, 40)] + ["日本語の文章 mixed ภาษาไทย text \U00020000\U00020001 一二三四五六七八九十一二三四五六七八九十", "w " * 3000]
     out = {r["doc_id"]: r for r in winnowing.edited_fingerprints(docs(spark, texts)).collect()}
     flat = [t or "" for t in texts]
     for i, t in enumerate(flat):
@@ -251,8 +261,19 @@ def test_html(spark):
     out = {r["page_id"]: r["text"] for r in html_blocks.extract(pages).collect()}
     assert out[1] == "The title\nFirst & bold para graph goes on here.\nSecond." and out[2] == out[3] == ""
     assert out[5].count("\n") == 1 and "x" not in out[5].split()[0]
-    tree = html_blocks.grow(html_blocks.LABELLED)
-    assert all(html_blocks.decide(tree, r[:-1]) == r[-1] for r in html_blocks.LABELLED)
+    rows = html_blocks.labelled(html_blocks.PAGES)
+    tree = html_blocks.grow(rows)
+    assert all(html_blocks.is_article(tree, r[:-1]) == r[-1] for r in rows)
+    used = set()
+
+    def visit(t):
+        if len(t) == 4:
+            used.add(html_blocks.FEATURES[t[0]])
+            visit(t[2])
+            visit(t[3])
+
+    visit(tree)
+    assert used & {"words", "words_before", "words_after"} and used & {"links", "links_before", "links_after"}
 
 
 def test_licenses(spark):

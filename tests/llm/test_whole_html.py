@@ -4,9 +4,21 @@ from structcheck.llm import html_blocks
 
 
 def test_drawings_formulas_and_lists_of_links_in_an_article():
-    tree = html_blocks.grow(html_blocks.LABELLED)
+    tree = html_blocks.grow(html_blocks.labelled(html_blocks.PAGES))
     for tag in ('<svg class="i"/>', "<canvas />", '<object data="x"/>', "<svg><path d='m'/></svg>"):
         assert html_blocks.main_text(f"<article><p>one {tag} two</p><p>three</p></article><footer><svg></svg>f</footer>", tree) == "one two\nthree"
     assert html_blocks.main_text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> holds</p></article>", tree) == "so x=1 holds"
     links = "<ul>" + "".join(f"<li><a href=/{i}>Source number {i}</a></li>" for i in range(4)) + "</ul>"
     assert html_blocks.main_text(f"<nav>{links}</nav><article><p>Text of it.</p>{links}<div class=related>{links}</div></article>", tree).count("Source") == 4
+
+
+def test_words_of_a_class_alone_decide_nothing():
+    tree = html_blocks.grow(html_blocks.labelled(html_blocks.PAGES))
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    for name in ("notice-of-appeal", "search-engines", "related", "share", "tags story", "formula", "menus-of-france"):
+        assert html_blocks.main_text(f'<div class="{name}"><p>{a}</p><p>{b}</p></div>', tree) == f"{a}\n{b}", name
+    for n in (30, 60, 200):
+        p = " ".join(["word"] * n)
+        assert html_blocks.main_text(f"<article><p>{p}</p><ul><li><a href=/x>one two three four five six</a></li></ul><p>{p}</p></article>", tree).count(p) >= 2
+    for name in ("comments", "site-footer", "cookie-notice", "adBanner", "article-comments"):
+        assert html_blocks.main_text(f'<article><p>{a}</p><div class="{name}"><p>{b}</p></div></article>', tree) == a, name
