@@ -267,8 +267,8 @@ def within(a: str, b: str, percent: int):
 
 def close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the suffix filter."""
-    given = pairs.join(nodes.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("hist").alias("ha")), "a")
-    given = given.join(nodes.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("hist").alias("hb")), "b")
+    given = pairs.join(nodes.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("hist").alias("ha")).hint("merge"), "a")
+    given = given.join(nodes.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("hist").alias("hb")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,11 +298,12 @@ def by_gram(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
     """`rows` joined with `found` (gram, n and others) by gram, where n is the length of the gram's list.
 
     A list of a 20,000th of all `total` rows of lists, and of 256 rows, is joined by broadcast, so that its rows stay
-    where they are; there are at most 20,000 of them.
+    where they are; there are at most 20,000 of them. The others grow with the table and are joined by a shuffle at every
+    size, so that what a small table shows holds for a large one.
     """
     long = F.col("n") >= max(256, total // 20_000)
     hot = F.broadcast(found.filter(long))
-    cold = rows.join(F.broadcast(found.filter(long).select("gram")), "gram", "left_anti").join(found.filter(~long), "gram")
+    cold = rows.join(F.broadcast(found.filter(long).select("gram")), "gram", "left_anti").join(found.filter(~long).hint("merge"), "gram")
     return rows.join(hot, "gram").unionByName(cold)
 
 
@@ -526,7 +527,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     discard(made, near)
 
     rest = written(tiles(with_components(long, known), block, total), "tiles")
-    close = written(across(rest.join(classes.select("node", "hist"), "node"), percent, "rows"), "close")
+    close = written(across(rest.join(classes.select("node", "hist").hint("merge"), "node"), percent, "rows"), "close")
     nodes = close.select("node").distinct()
     made = sets(nodes)
     order = F.array_sort(F.collect_list(F.struct("pos", "gram")))
