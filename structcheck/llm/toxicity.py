@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common  # noqa: F401  workers need no copy of this module
+from .common import free_name, lean
 
 #: Classes of characters: 0 a gap, 1-26 a-z, 27-58 the small letters of Latin-1, then digit, mark, other letter.
 DIGIT, MARK, OTHER, CLASSES = 59, 60, 61, 64
@@ -87,7 +87,7 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
 
-    rows = docs.select(F.col(text_col)).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(F.col(text_col)).mapInArrow(lean(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(CELLS)
     counts[rows["cell"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.float64)
     return counts
@@ -293,22 +293,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text", restored_col: str | None = None, score_col: str = "score") -> DataFrame:
     """`docs` with the score of each text, and the restored text if `restored_col` names a column for it.
 
-    Columns of those names are replaced. A null text scores as an empty one. One pass, nothing is shuffled.
+    Columns of those names, in small or capital letters, are replaced. A null text scores as an empty one; an empty table
+    stays empty. One pass, nothing is shuffled.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tuple(model))  # trigram cells and at most 300 features
     added = [*([restored_col] if restored_col else []), score_col]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in docs.columns if c.lower() not in {a.lower() for a in added}]
+    at = next((i for i, c in enumerate(kept) if c.lower() == text_col.lower()), len(kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*shared.value))
-        for b in batches:
-            out = [scorer(x.as_py()) for x in b.column(b.num_columns - 1)]
-            extra = [*([pa.array([r for r, _ in out], pa.string())] if restored_col else []), pa.array([s for _, s in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *extra], [*b.schema.names[:-1], *added])
+        for whole in batches:
+            for first in range(0, len(whole), 500):
+                b = whole.slice(first, 500)
+                out = [scorer(x.as_py()) for x in b.column(at)]
+                extra = [*([pa.array([r for r, _ in out], pa.string())] if restored_col else []), pa.array([s for _, s in out], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *extra], [*b.schema.names[: len(kept)], *added])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
     if restored_col:
         schema = schema.add(restored_col, "string")
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text"))
-    return given.mapInArrow(run, schema.add(score_col, "double"))
+    text = [F.col(f"`{text_col}`").alias(free_name(docs, "text"))] if at == len(kept) else []
+    given = docs.select(*[F.col(f"`{c}`") for c in kept], *text)
+    return given.mapInArrow(lean(run), schema.add(score_col, "double"))

@@ -280,3 +280,16 @@ def test_licenses(spark):
     texts = [None, "", "A story.\nReleased under the MIT License.\nEnd.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "He lost his driving license in the river yesterday.", "This work is licensed under the GNU General Public License, version 3."]
     out = {r["doc_id"]: [(f["line"], f["family"]) for f in r["findings"] if f["confirmed"]] for r in licenses.scan(docs(spark, texts)).collect()}
     assert out == {0: [], 1: [], 2: [(1, "mit")], 3: [(0, "apache")], 4: [(0, "cc_by_nc")], 5: [], 6: [(0, "gpl")]}
+
+
+def test_scores_beside_clashing_columns(spark):
+    given = docs(spark, ["a calm river", "you idiot", None, ""]).selectExpr("*", "1 AS Score", "2 AS __text")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    model = toxicity.train(given, labels)
+    out = toxicity.score(given, model, restored_col="Restored")
+    assert out.columns == [*[c for c in given.columns if c != "Score"], "Restored", "score"]
+    plain = {r["doc_id"]: r["score"] for r in toxicity.score(given.select("doc_id", "text"), model).collect()}
+    assert {r["doc_id"]: (r["__text"], r["score"]) for r in out.collect()} == {k: (2, v) for k, v in plain.items()}
+    assert toxicity.score(given.limit(0), model, text_col="TEXT").count() == 0
+    replaced = {r["doc_id"]: r["text"] for r in toxicity.score(given, model, restored_col="text").collect()}
+    assert replaced[1] == "you idiot" and replaced[2] in (None, "")
