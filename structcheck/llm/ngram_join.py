@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, written
+from .common import discard, free_name, lean, small_batches, written
 from .components import components
 
 SEGMENT = 1 << 19
 #: Bins of a histogram: the fewest, and the most of a fine one; a coarse one has an eighth of a fine one's.
 BINS, MOST_BINS = 128, 1 << 15
+#: Bins that are compared at once.
+CHUNK = 1 << 20
 #: Lists of up to SHORT nodes are tested pair by pair, longer ones against hubs.
 SHORT = 3
 #: Grams of a node that tell whether two nodes have met in a list before.
@@ -161,7 +163,7 @@ def rarity(docs: DataFrame, text_col: str, n: int, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
-    rows = docs.select(text_col).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()  # 2**bits numbers in all
+    rows = docs.select(text_col).mapInArrow(lean(count), schema).repartition("part").mapInArrow(lean(add), schema).collect()  # 2**bits numbers in all
     total = np.zeros((1 << bits) // chunk * chunk, dtype=np.int64).reshape(-1, chunk)
     for r in rows:
         total[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
@@ -190,6 +192,13 @@ def folded(hist: np.ndarray, bins: int) -> np.ndarray:
     return hist.reshape(len(hist), -1, bins).sum(1, dtype=np.int32)
 
 
+def in_chunks(rows: np.ndarray, bins: int) -> Iterator[np.ndarray]:
+    """`rows` in parts of which all histograms together have CHUNK bins or little more."""
+    step = max(1, CHUNK // bins)
+    for at in range(0, len(rows), step):
+        yield rows[at : at + step]
+
+
 def describe(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, counts: np.ndarray) -> DataFrame:
     """For each row: id, digest (MD5 of the text), fp (a digest of the set), size, prefix, hist."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # as many numbers as buckets
@@ -198,21 +207,20 @@ def describe(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, order = Shingler(n), shared.value
         for b in batches:
-            digest, fp, size, prefix, hist = [], [], [], [], []
-            for _, texts in _batches(b.column(1)):
-                digest += [hashlib.md5(t, usedforsecurity=False).digest() for t in texts]
+            for at, texts in _batches(b.column(1)):
+                digest, fp, size, prefix, hist = [hashlib.md5(t, usedforsecurity=False).digest() for t in texts], [], [], [], []
                 for s in shingler.sets(texts):
                     fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     size.append(len(s))
                     rare = s[np.lexsort((s, order[(s >> np.uint64(64 - bits)).astype(np.int64)]))] if len(s) else s
-                    prefix.append(rare[: len(s) - need(len(s), percent) + 1].view(np.int64))
+                    prefix.append(rare[: len(s) - need(len(s), percent) + 1].view(np.int64).copy())
                     hist.append(histogram(s))
-            columns = [pa.array(digest, pa.binary()), pa.array(fp, pa.binary()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(hist, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names)
+                columns = [pa.array(digest, pa.binary()), pa.array(fp, pa.binary()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(hist, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *columns], names)
 
     names = ["id", "digest", "fp", "size", "prefix", "hist"]
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, digest binary, fp binary, size int, prefix array<long>, hist binary")
+    return given.mapInArrow(lean(run), f"id {given.schema['id'].dataType.simpleString()}, digest binary, fp binary, size int, prefix array<long>, hist binary")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -249,7 +257,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFra
                 yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "set"])
 
     given_rows = docs.select(place(id_col).alias("p"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    passed = given_rows.mapInArrow(run, f"id {given_rows.schema['id'].dataType.simpleString()}, fp binary, set array<long>")
+    passed = given_rows.mapInArrow(lean(run), f"id {given_rows.schema['id'].dataType.simpleString()}, fp binary, set array<long>")
     met = passed.join(wanted.select("node", "least", F.col("fp").alias("print")), (F.col("fp") == F.col("print")) & F.col("id").eqNullSafe(F.col("least")))
     out = written(met.select("node", "set"), "sets")
     if out.count() > many:  # rows of one id and one text, each of which has passed
@@ -276,14 +284,14 @@ def close_enough(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             lengths = np.array([[len(x) for x in batch.column(i).to_pylist()] for i in (4, 5)], dtype=np.int64).reshape(2, -1)
             keep = np.zeros(len(batch), dtype=bool)
             for la, lb in {*zip(*lengths.tolist())}:
-                at = np.flatnonzero((lengths[0] == la) & (lengths[1] == lb))
-                sides = [np.frombuffer(b"".join(batch.column(i).take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(len(at), -1) for i in (4, 5)]
-                ha, hb = (folded(x, min(la, lb)) for x in sides)
-                keep[at] = np.abs(ha - hb).sum(1) * (100 + percent) <= (100 - percent) * total[at]
+                for at in in_chunks(np.flatnonzero((lengths[0] == la) & (lengths[1] == lb)), max(la, lb)):
+                    sides = [np.frombuffer(b"".join(batch.column(i).take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(len(at), -1) for i in (4, 5)]
+                    ha, hb = (folded(x, min(la, lb)) for x in sides)
+                    keep[at] = np.abs(ha - hb).sum(1) * (100 + percent) <= (100 - percent) * total[at]
             some = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some)], ["a", "b"])
 
-    return given.select("a", "b", "sa", "sb", "ha", "hb").mapInArrow(run, "a long, b long")
+    return given.select("a", "b", "sa", "sb", "ha", "hb").mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -397,15 +405,15 @@ def candidates(a: Side, b: Side, percent: int) -> Iterator[tuple[int, np.ndarray
     for i, js in alike(a, b, percent):
         mine = a.hist(i)
         for p, q, theirs in b.parts:
-            some = js[(js >= p) & (js < q)]
             bins = min(mine.shape[1], theirs.shape[1])
-            for n in (max(BINS, bins // 8), bins):
+            for some in in_chunks(js[(js >= p) & (js < q)], theirs.shape[1]):
+                for n in (max(BINS, bins // 8), bins):
+                    if len(some):
+                        far = np.abs(folded(theirs[some - p], n) - folded(mine, n)).sum(1)
+                        ok = far * (100 + percent) <= (100 - percent) * (a.size[i] + b.size[some])
+                        some, far = some[ok], far[ok]
                 if len(some):
-                    far = np.abs(folded(theirs[some - p], n) - folded(mine, n)).sum(1)
-                    ok = far * (100 + percent) <= (100 - percent) * (a.size[i] + b.size[some])
-                    some, far = some[ok], far[ok]
-            if len(some):
-                yield i, some, far
+                    yield i, some, far
 
 
 def near_rows(a: Side, b: Side, percent: int) -> list[np.ndarray]:
@@ -485,7 +493,7 @@ def across(rows: DataFrame, percent: int, want: str) -> DataFrame:
             out += found(held)
         yield batch()
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean(run), schema)
 
 
 def fine(sets: DataFrame) -> DataFrame:
@@ -493,10 +501,12 @@ def fine(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hists = [histogram(s.values.to_numpy().view(np.uint64), True) for s in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hists, pa.binary())], ["node", "hist"])
+            for at in range(0, len(b), 256):
+                some = b.slice(at, 256)
+                hists = [histogram(s.values.to_numpy().view(np.uint64), True) for s in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(hists, pa.binary())], ["node", "hist"])
 
-    return sets.select("node", "set").mapInArrow(run, "node long, hist binary")
+    return sets.select("node", "set").mapInArrow(lean(run), "node long, hist binary")
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, bits: int, block: int) -> DataFrame:
@@ -560,7 +570,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     empty table gives an empty result. `bits`: buckets of the rarity order; `block`: rows of a list on each side that a
     task compares at once. Jobs run when this is called; the result is read from what they have written.
     """
-    found = written(_labelled(docs, id_col, text_col, n, percent, bits, block), "labelled")
+    with small_batches(docs.sparkSession):
+        found = written(_labelled(docs, id_col, text_col, n, percent, bits, block), "labelled")
     smallest = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least"))
     out = found.join(smallest, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least"))
@@ -574,7 +585,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words are linked with nothing and all stay. An id with several texts loses only those rows whose text has a smaller
     partner. Columns are as in `docs`, whatever their names; an empty table stays empty; a text is compared whole.
     """
-    found = written(_labelled(docs, id_col, text_col, n, percent, 18, 512).filter(F.col("root").isNotNull()), "labelled")
+    with small_batches(docs.sparkSession):
+        found = written(_labelled(docs, id_col, text_col, n, percent, 18, 512).filter(F.col("root").isNotNull()), "labelled")
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "digest")
     kept = found.groupBy("root").agg(F.min(rank).alias("kept"))
     each = found.groupBy("root", "id", "digest").agg(F.count(F.lit(1)).alias("n"))
