@@ -13,8 +13,8 @@ components is compared across components, whole: its largest component against i
 themselves, in blocks of bounded size, each pair of blocks a task of its own. No list is held whole, and none is capped.
 Blocks compare coarse histograms. What has a candidate left in its pair of blocks is compared again, by histograms of as
 many bins as a set needs, which almost only links pass. First each pair of blocks gives a forest of its closest
-candidates, fewer than it has nodes. These are verified and merge components; then all candidates across the components
-that are left are verified too.
+candidates, fewer than it has nodes. These are verified and merge components; then all its other candidates across the
+components that are left are verified too.
 """
 
 from __future__ import annotations
@@ -425,9 +425,11 @@ def near_rows(a: Side, b: Side, percent: int) -> list[np.ndarray]:
     return [x.node[m] for x, m in zip([a, b], met)]
 
 
-def near_pairs(a: Side, b: Side, percent: int, forest: bool) -> tuple[list[int], list[int]]:
-    """The candidates of a tile that have met in no earlier list, or of them a forest over components, the closest first."""
+def near_pairs(a: Side, b: Side, percent: int, forest: bool) -> tuple[list[tuple[int, int]], set[int]]:
+    """The candidates of a tile that have met in no earlier list, or of them a forest over components, the closest first,
+    and the nodes of those that the forest leaves out."""
     found = [(int(d), i, int(j)) for i, js, far in candidates(a, b, percent) for d, j in zip(far, js) if a.early[i].isdisjoint(b.early[j])]
+    left: set[int] = set()
     if forest:
         root: dict[int, int] = {}
 
@@ -442,13 +444,16 @@ def near_pairs(a: Side, b: Side, percent: int, forest: bool) -> tuple[list[int],
             if x != y:
                 root[max(x, y)] = min(x, y)
                 kept.append((d, i, j))
+            else:
+                left |= {int(a.node[i]), int(b.node[j])}
         found = kept
     ends = [sorted((int(a.node[i]), int(b.node[j]))) for _, i, j in found]
-    return [e[0] for e in ends], [e[1] for e in ends]
+    return [(x, y) for x, y in ends], left
 
 
 def across(rows: DataFrame, percent: int, want: str) -> DataFrame:
-    """What the tiles of `rows` hold: their ``rows`` that have a candidate in the tile, ``pairs`` or a ``forest`` (a, b).
+    """What the tiles of `rows` hold: their ``rows`` that have a candidate in the tile, ``pairs`` (a, b), or a ``forest``:
+    pairs, and beside them, with a and b null, the rows of nodes whose candidates are not all in it.
 
     `rows`: gram, lo, hi, block, node, comp, size, pos, hist and, for pairs, early (the first of the node's prefix
     n-grams that have lists). A task takes its tiles one after the other, so it holds two blocks at a time.
@@ -456,9 +461,10 @@ def across(rows: DataFrame, percent: int, want: str) -> DataFrame:
     pairs = want != "rows"
     cols = ["gram", "lo", "hi", "block", "node", "comp", "size", "pos", "hist"] + (["early"] if pairs else [])
     given = rows.select(*cols).repartition("gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi")
-    names = ["a", "b"] if pairs else cols[:8]
-    schema = "a long, b long" if pairs else given.select(*cols[:8]).schema
-    kinds = [pa.int32() if n in ("lo", "hi", "block", "size", "pos") else pa.int64() for n in names]
+    names = {"rows": cols[:8], "pairs": ["a", "b"], "forest": ["a", "b", *cols[:8]]}[want]
+    small = [n in ("lo", "hi", "block", "size", "pos") for n in names]
+    schema = ", ".join(f"{n} {'int' if x else 'long'}" for n, x in zip(names, small))
+    kinds = [pa.int32() if x else pa.int64() for x in small]
 
     def found(held: list[tuple]) -> list[tuple]:
         gram, lo, hi = held[0][:3]
@@ -467,7 +473,10 @@ def across(rows: DataFrame, percent: int, want: str) -> DataFrame:
             return []
         blocks = [Side(s, gram) for s in sides]
         if pairs:
-            return [*zip(*near_pairs(blocks[0], blocks[-1], percent, want == "forest"))]
+            ends, left = near_pairs(blocks[0], blocks[-1], percent, want == "forest")
+            if want == "pairs":
+                return ends
+            return [(*e, *[None] * 8) for e in ends] + [(None, None, *r[:8]) for r in held if r[4] in left]
         met = [set(x.tolist()) for x in near_rows(blocks[0], blocks[-1], percent)]
         return [r[:8] for m, s in zip(met, sides) for r in s if r[4] in m]
 
@@ -543,17 +552,18 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     order = F.array_sort(F.collect_list(F.struct("pos", "gram")))
     early = lists.join(nodes, "node").groupBy("node").agg(F.transform(F.slice(order, 1, EARLY), lambda x: x["gram"]).alias("early"))
     described = written(fine(made).join(early, "node"), "fine")
-    forest = written(across(close.join(described, "node"), percent, "forest").distinct(), "pairs")
+    grown = written(across(close.join(described, "node"), percent, "forest"), "forest")
+    forest = written(grown.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
     links = written(verified(forest, made, percent), "links")
     known = merged(known, links)
     tile = ["gram", "lo", "hi"]
-    left = with_components(close.drop("comp"), known)
+    left = with_components(grown.filter("a IS NULL").drop("a", "b", "comp"), known)
     mixed = left.groupBy(*tile).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y")).select(*tile)
     more = written(across(left.join(mixed, tile, "left_semi").join(described, "node"), percent, "pairs").distinct(), "pairs")
     links = written(verified(more, made, percent), "links")
     if not links.isEmpty():
         known = merged(known, links)
-    discard(made, rest, close, described, forest, more, lists, active)
+    discard(made, rest, close, described, grown, forest, more, lists, active)
 
     rooted = classes.select("fp", "node").join(known, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     return base.select("id", "digest", "fp", "size").join(rooted, "fp", "left").select("id", "digest", "size", "root")
