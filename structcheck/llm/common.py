@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +92,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def finite(vector_col: str) -> Column:
+    """Whether a vector is there and all its components are there and finite."""
+    c = F.col(vector_col)
+    return F.coalesce(c.isNotNull() & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Arrow lists of `width` numbers each as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that `df` does not have (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_blocks, licenses, ngram_join, packing, piece_lattice, pivot_index, secrets, sharding, toxicity, winnowing
+from . import html_blocks, licenses, ngram_join, packing, piece_lattice, pivot_index, secrets, sharding, token_alignment, topk_search, toxicity, vector_codes, winnowing
 from .common import table
 
 
@@ -73,6 +73,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+    return token_alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_secrets": op9_secrets,
         "op10_ngram_join": op10_ngram_join,
+        "op11_alignment": op11_alignment,
+        "op12_topk": op12_topk,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": pipeline,
     }
 
