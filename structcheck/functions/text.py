@@ -21,9 +21,15 @@ def param_signature(types: Column) -> Column:
 
 
 def method_key(name: Column, params: Column) -> Column:
-    """``name(sorted,types)``, or the bare name without types."""
-    parts = F.array_sort(F.filter(F.transform(F.split(F.coalesce(params, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
-    return F.when(F.size(parts) == 0, name).otherwise(F.concat(name, F.lit("("), F.array_join(parts, ","), F.lit(")")))
+    """``name(sorted,types)``, or the bare name where no types are given; null without a name.
+
+    Types are separated by commas; braces around them are dropped, and of an entry ``name = "Type"`` the type counts.
+    """
+    given = F.split(F.translate(params, "{}", ""), ",")
+    typed = lambda x: F.when(x.contains("="), F.trim(F.replace(F.regexp_replace(x, "^[^=]*=", ""), F.lit('"'), F.lit("")))).otherwise(x)
+    parts = F.array_sort(F.transform(F.filter(F.transform(given, lambda x: F.trim(x)), lambda x: x != ""), typed))
+    none = params.isNull() | (params == "") | (params == "{}")
+    return F.when(none, name).otherwise(F.concat(name, F.lit("("), F.array_join(parts, ","), F.lit(")")))
 
 
 def lossy_params(params: Column) -> Column:

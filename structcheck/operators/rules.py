@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from structcheck.functions.tables import written
 from structcheck.functions.text import method_key
 
 from . import closure as graph
@@ -26,7 +27,8 @@ class Instance(NamedTuple):
     is_inheritable scope is_abstract. attribute: repo attribute ord aid member_name type is_inheritable scope.
     body: repo body. binding: repo binding implementer target body. parents: repo cls parent ord.
     local_methods, inherited_methods: repo cls method. local_attributes, inherited_attributes: repo cls attribute.
-    objects: repo object oid cls, if there are any. closure: repo cls anc, the ancestors by `parents`, if computed."""
+    objects: repo object oid cls, if there are any. Computed by `prepared`: closure: repo cls anc, the ancestors by
+    `parents`; chain: the same by first parents; local, inherited: the tuples of methods with the methods' columns."""
 
     classifier: DataFrame
     method: DataFrame
@@ -40,6 +42,9 @@ class Instance(NamedTuple):
     inherited_attributes: DataFrame
     objects: DataFrame | None = None
     closure: DataFrame | None = None
+    chain: DataFrame | None = None
+    local: DataFrame | None = None
+    inherited: DataFrame | None = None
 
 
 class Rule(NamedTuple):
@@ -64,18 +69,44 @@ def names_of(form: str | None = None) -> list[str]:
     return [r.name for r in REGISTRY.values() if form in (None, r.form)]
 
 
+def restricted(m: Instance, repos: DataFrame) -> Instance:
+    """The instance of the named repositories (repo) alone."""
+    return Instance(*[df if df is None else df.join(repos, "repo", "left_semi") for df in m])
+
+
 def up(m: Instance) -> DataFrame:
     """The closure of the parents."""
     return m.closure if m.closure is not None else graph.ancestors(m.parents)
 
 
-def with_closure(m: Instance) -> Instance:
-    return m._replace(closure=up(m))
+def first_up(m: Instance) -> DataFrame:
+    """The closure of the first parents."""
+    return m.chain if m.chain is not None else graph.ancestors(graph.first_parent(m.parents))
+
+
+def local_of(m: Instance) -> DataFrame:
+    """Local methods of classes with their columns: repo cls method and those of `method`, and their key."""
+    return m.local if m.local is not None else _keyed(m.local_methods.join(m.method, ["repo", "method"]))
+
+
+def inherited_of(m: Instance) -> DataFrame:
+    return m.inherited if m.inherited is not None else _keyed(m.inherited_methods.join(m.method, ["repo", "method"]))
+
+
+def _keyed(members: DataFrame) -> DataFrame:
+    return members.withColumn("key", method_key(F.col("member_name"), F.col("param_types")))
 
 
-def listed(item: str, order: str = "ord") -> Column:
-    """The items of a group in order, comma-joined."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, item))), lambda x: x[item]), ", ")
+def prepared(m: Instance) -> Instance:
+    """`m` with what several rules read computed and written once: both closures, members joined with their methods."""
+    m = m._replace(closure=up(m), chain=first_up(m))
+    return m._replace(local=written(local_of(m), "local"), inherited=written(inherited_of(m), "inherited"))
+
+
+def repeated(rows: DataFrame, keys: list[str], item: str, order: str = "ord") -> DataFrame:
+    """Groups of more than one row, with their items in order, comma-joined, as `who`; only these are sorted."""
+    g = rows.groupBy("repo", *keys).agg(F.collect_list(F.struct(order, item)).alias("all")).filter(F.size("all") > 1)
+    return g.select("repo", *keys, F.array_join(F.transform(F.array_sort("all"), lambda x: x[item]), ", ").alias("who"))
 
 
 def shown(df: DataFrame, subject: Column, *text: Column | str) -> DataFrame:
@@ -88,7 +119,8 @@ def _c(name: str) -> Column:
 
 @rule("chk_duplicate_names", "IdentifierIntegrity")
 def duplicate_names(m: Instance) -> DataFrame:
-    g = m.classifier.groupBy("repo", "name").agg(F.count(F.lit(1)).alias("n"), listed("cls").alias("who")).filter("n > 1")
+    """Classes without a name are alike in none."""
+    g = repeated(m.classifier.filter(_c("name").isNotNull()), ["name"], "cls")
     return shown(g, _c("name"), "Duplicate name '", _c("name"), "' used by: ", _c("who"))
 
 
@@ -120,7 +152,7 @@ def cycle(m: Instance) -> DataFrame:
 
 @rule("chk_inherited_private", "InheritedMemberDerivation")
 def inherited_private(m: Instance) -> DataFrame:
-    a = m.inherited_methods.join(m.method.filter(_c("is_inheritable") == "No").select("repo", "method"), ["repo", "method"])
+    a = inherited_of(m).filter(_c("is_inheritable") == "No").select("repo", "cls", "method")
     b = m.inherited_attributes.join(m.attribute.filter(_c("is_inheritable") == "No").select("repo", "attribute"), ["repo", "attribute"])
     return shown(a, _c("method"), "Private method ", _c("method"), " appears in inheritedMethods of ", _c("cls")).unionByName(
         shown(b, _c("attribute"), "Private attribute ", _c("attribute"), " appears in inheritedAttributes of ", _c("cls"))
@@ -151,30 +183,34 @@ def available_members(m: Instance) -> DataFrame:
     return m.local_methods.unionByName(m.inherited_methods).distinct()
 
 
+def whole_bindings(m: Instance) -> DataFrame:
+    """Bindings that name an implementer and a target; the checker passes over others."""
+    return m.binding.filter(_c("implementer").isNotNull() & _c("target").isNotNull())
+
+
 @rule("chk_binding_target", "ImplementationBindingPolicy")
 def binding_target(m: Instance) -> DataFrame:
     have = available_members(m).select("repo", F.col("cls").alias("implementer"), F.col("method").alias("target"))
-    bad = m.binding.join(have, ["repo", "implementer", "target"], "left_anti")
+    bad = whole_bindings(m).join(have, ["repo", "implementer", "target"], "left_anti")
     return shown(bad, _c("binding"), "ImplementationBinding ", _c("binding"), " targets method ", _c("target"), " not available in ", _c("implementer"))
 
 
 @rule("chk_abstract_has_body", "ImplementationBindingPolicy")
 def abstract_has_body(m: Instance) -> DataFrame:
-    abstract = m.method.filter(_c("is_abstract") == "Yes").select("repo", F.col("method").alias("target"))
-    local = m.local_methods.select("repo", F.col("cls").alias("implementer"), F.col("method").alias("target"))
-    bad = m.binding.join(local, ["repo", "implementer", "target"], "left_semi").join(abstract, ["repo", "target"], "left_semi")
+    abstract = local_of(m).filter(_c("is_abstract") == "Yes").select("repo", F.col("cls").alias("implementer"), F.col("method").alias("target"))
+    bad = m.binding.join(abstract, ["repo", "implementer", "target"], "left_semi")
     return shown(bad, _c("target"), "Abstract method ", _c("target"), " has a body via ", _c("binding"), " in declaring class ", _c("implementer"))
 
 
 @rule("chk_multiple_bindings", "ImplementationBindingPolicy")
 def multiple_bindings(m: Instance) -> DataFrame:
-    g = m.binding.groupBy("repo", "implementer", "target").agg(F.array_sort(F.collect_list("binding")).alias("who")).filter(F.size("who") > 1)
-    return shown(g, _c("target"), "Multiple bindings for ", _c("implementer"), "::", _c("target"), ": [", F.array_join("who", ", "), "]")
+    g = repeated(whole_bindings(m), ["implementer", "target"], "binding", "repo")
+    return shown(g, _c("target"), "Multiple bindings for ", _c("implementer"), "::", _c("target"), ": [", _c("who"), "]")
 
 
 @rule("chk_missing_binding", "ImplementationBindingPolicy")
 def missing_binding(m: Instance) -> DataFrame:
-    concrete = m.local_methods.join(m.method.filter(_c("is_abstract") == "No").select("repo", "method"), ["repo", "method"])
+    concrete = local_of(m).filter(_c("is_abstract") == "No").select("repo", "cls", "method")
     bound = m.binding.select("repo", F.col("implementer").alias("cls"), F.col("target").alias("method"))
     return shown(bound_repos(m, concrete.join(bound, ["repo", "cls", "method"], "left_anti")), _c("method"), "Non-abstract method ", _c("method"), " in ", _c("cls"), " has no ImplementationBinding")
 
@@ -201,7 +237,7 @@ def unresolved(m: Instance) -> DataFrame:
     bound = m.binding.select("repo", F.col("target").alias("method")).distinct()
     none = need.join(bound, ["repo", "method"], "left_anti")
     some = need.join(bound, ["repo", "method"], "left_semi")
-    hidden = some.join(_seen(some, m, graph.ancestors(graph.first_parent(m.parents))), ["repo", "cls", "method"], "left_anti")
+    hidden = some.join(_seen(some, m, first_up(m)), ["repo", "cls", "method"], "left_anti")
     text = ["Non-abstract classifier ", _c("cls"), " has non-abstract method ", _c("method")]
     return shown(none, _c("method"), *text, " without any ImplementationBinding").unionByName(shown(hidden, _c("method"), *text, " with no ImplementationBinding visible in ancestor chain"))
 
@@ -216,8 +252,7 @@ def spec_unresolved(m: Instance) -> DataFrame:
 @rule("chk_abstract_in_concrete", "AbstractionPolicy")
 def abstract_in_concrete(m: Instance) -> DataFrame:
     concrete = m.classifier.filter(_c("is_abstract") != "Yes").select("repo", "cls")
-    abstract = m.method.filter(_c("is_abstract") == "Yes").select("repo", "method")
-    bad = m.local_methods.join(concrete, ["repo", "cls"]).join(abstract, ["repo", "method"])
+    bad = local_of(m).filter(_c("is_abstract") == "Yes").select("repo", "cls", "method").join(concrete, ["repo", "cls"])
     return shown(bad, _c("method"), "Non-abstract classifier ", _c("cls"), " contains abstract method ", _c("method"))
 
 
@@ -227,42 +262,52 @@ def static_abstract(m: Instance) -> DataFrame:
     return shown(bad, _c("method"), "Method ", _c("method"), " is both static and abstract")
 
 
-def _namespace(members: DataFrame, atoms: DataFrame, atom: str, key: Column, text: str) -> DataFrame:
-    joined = members.join(atoms, ["repo", atom]).withColumn("key", key)
-    g = joined.groupBy("repo", "cls", "key").agg(F.count(F.lit(1)).alias("n"), listed(atom).alias("who")).filter("n > 1")
-    return shown(g, _c("cls"), f"{text} '", _c("key"), "' in ", _c("cls"), ": [", _c("who"), "]")
+def _namespace(members: DataFrame, atom: str, key: Column, text: str) -> DataFrame:
+    """Classes with several members of one key; members without one are passed over."""
+    keyed = members.select("repo", "cls", atom, "ord", key.alias("key")).filter(_c("key").isNotNull())
+    return shown(repeated(keyed, ["cls", "key"], atom), _c("cls"), f"{text} '", _c("key"), "' in ", _c("cls"), ": [", _c("who"), "]")
 
 
 def exact_key() -> Column:
+    """The key of the specification: parameter types in order, null without name or types."""
     return F.concat(_c("member_name"), F.lit("("), _c("param_types"), F.lit(")"))
 
 
 @rule("chk_local_namespace", "LocalMethodNamespace")
 def local_namespace(m: Instance) -> DataFrame:
-    return _namespace(m.local_methods, m.method, "method", exact_key(), "Duplicate method key")
+    return _namespace(local_of(m), "method", _c("key"), "Duplicate method key")
+
+
+@rule("spec_local_namespace", "LocalMethodNamespace", "spec")
+def spec_local_namespace(m: Instance) -> DataFrame:
+    return _namespace(local_of(m), "method", exact_key(), "Duplicate method signature")
 
 
 @rule("chk_local_attr_namespace", "LocalAttributeNamespace", "spec")
 def local_attr_namespace(m: Instance) -> DataFrame:
-    return _namespace(m.local_attributes, m.attribute, "attribute", _c("member_name"), "Duplicate attribute name")
+    return _namespace(m.local_attributes.join(m.attribute, ["repo", "attribute"]), "attribute", _c("member_name"), "Duplicate attribute name")
 
 
 @rule("chk_inherited_method_conflict", "InheritedConflictPolicy")
 def inherited_method_conflict(m: Instance) -> DataFrame:
-    return _namespace(m.inherited_methods, m.method, "method", exact_key(), "Inherited method conflict key")
+    return _namespace(inherited_of(m), "method", _c("key"), "Inherited method conflict key")
+
+
+@rule("spec_inherited_method_conflict", "InheritedConflictPolicy", "spec")
+def spec_inherited_method_conflict(m: Instance) -> DataFrame:
+    return _namespace(inherited_of(m), "method", exact_key(), "Inherited method conflict signature")
 
 
 @rule("chk_inherited_attr_conflict", "InheritedConflictPolicy")
 def inherited_attr_conflict(m: Instance) -> DataFrame:
-    return _namespace(m.inherited_attributes, m.attribute, "attribute", _c("member_name"), "Inherited attribute conflict")
+    return _namespace(m.inherited_attributes.join(m.attribute, ["repo", "attribute"]), "attribute", _c("member_name"), "Inherited attribute conflict")
 
 
 def overrides(m: Instance) -> DataFrame:
     """Local methods with the inheritable ancestor methods of their name, parameters and scope."""
     sig = ["member_name", "param_types", "scope"]
-    local = m.local_methods.join(m.method, ["repo", "method"]).select("repo", "cls", "method", "return_type", "is_abstract", *sig)
-    above = m.local_methods.join(m.method.filter(_c("is_inheritable") == "Yes"), ["repo", "method"])
-    above = above.select("repo", F.col("cls").alias("anc"), F.col("method").alias("base"), F.col("return_type").alias("base_type"), *sig)
+    local = local_of(m).select("repo", "cls", "method", "return_type", "is_abstract", *sig)
+    above = local_of(m).filter(_c("is_inheritable") == "Yes").select("repo", F.col("cls").alias("anc"), F.col("method").alias("base"), F.col("return_type").alias("base_type"), *sig)
     return local.join(up(m).join(above, ["repo", "anc"]), ["repo", "cls", *sig])
 
 
@@ -273,18 +318,15 @@ def subtypes(m: Instance, pairs: DataFrame) -> DataFrame:
     met = pairs.join(names.withColumnRenamed("name", "sub"), ["repo", "sub"])
     met = met.join(names.select("repo", F.col("name").alias("super"), F.col("cls").alias("anc")), ["repo", "super"])
     same = met.filter(_c("cls") == _c("anc")).select("repo", "sub", "super")
-    chain = graph.ancestors(graph.first_parent(m.parents))
-    return same.unionByName(met.join(chain, ["repo", "cls", "anc"], "left_semi").select("repo", "sub", "super")).distinct()
+    return same.unionByName(met.join(first_up(m), ["repo", "cls", "anc"], "left_semi").select("repo", "sub", "super")).distinct()
 
 
 @rule("chk_override_return", "OverridePolicy")
 def override_return_covariant(m: Instance) -> DataFrame:
     """Local methods whose return type is neither that of an inherited method of their key and scope nor a subtype of it;
     and overrides, not abstract, in atoms that are no classifiers."""
-    of = ["repo", "method", method_key(_c("member_name"), _c("param_types")).alias("key"), "scope", "return_type", "is_abstract"]
-    atoms = m.method.filter(_c("member_name").isNotNull()).select(*of)
-    local = m.local_methods.join(atoms, ["repo", "method"])
-    above = m.inherited_methods.join(atoms, ["repo", "method"]).select("repo", "cls", "key", F.col("method").alias("base"), F.col("scope").alias("base_scope"), F.col("return_type").alias("base_type"))
+    local = local_of(m).filter(_c("key").isNotNull()).select("repo", "cls", "method", "key", "scope", "return_type", "is_abstract")
+    above = inherited_of(m).filter(_c("key").isNotNull()).select("repo", "cls", "key", F.col("method").alias("base"), F.col("scope").alias("base_scope"), F.col("return_type").alias("base_type"))
     met = local.join(above, ["repo", "cls", "key"]).filter(_c("scope").isNull() | (_c("scope") == _c("base_scope")))
     differ = met.filter(_c("return_type") != _c("base_type"))
     pairs = differ.select("repo", F.col("return_type").alias("sub"), F.col("base_type").alias("super")).distinct()
@@ -352,7 +394,7 @@ def body_count(m: Instance) -> DataFrame:
 @rule("spec_binding_count", "ImplementationBindingPolicy", "spec")
 def binding_count(m: Instance) -> DataFrame:
     """Local methods, not abstract, that have not exactly one binding by their class."""
-    concrete = m.local_methods.join(m.method.filter(_c("is_abstract") == "No").select("repo", "method"), ["repo", "method"])
+    concrete = local_of(m).filter(_c("is_abstract") == "No").select("repo", "cls", "method")
     n = m.binding.groupBy("repo", F.col("implementer").alias("cls"), F.col("target").alias("method")).agg(F.count(F.lit(1)).alias("n"))
     g = concrete.join(n, ["repo", "cls", "method"], "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n <> 1")
     return shown(g, _c("method"), "Method ", _c("method"), " in ", _c("cls"), " has ", _c("n").cast("string"), " bindings")
@@ -393,9 +435,9 @@ OF_OBJECTS = ("spec_abstract_instances", "spec_object_classes", "spec_unique_oid
 def violations(m: Instance, names: list[str] | None = None) -> DataFrame:
     """The violations of the named rules (all): repo, invariant, check_name, subject, description.
 
-    The closure is computed once for all of them; rules of objects are left out of an instance without any.
+    What several of them read is computed once; rules of objects are left out of an instance without any.
     """
-    m, out = with_closure(m), None
+    m, out = prepared(m), None
     for r in (REGISTRY[n] for n in names or REGISTRY):
         if m.objects is None and r.name in OF_OBJECTS:
             continue

@@ -15,7 +15,7 @@ BASE = f"WITH RECURSIVE {STORED}, {CLOSURE}, {FIRST}, {AVAILABLE} "
 
 
 def _space(members: str, atoms: str, atom: str, key: str, text: str) -> str:
-    return f"SELECT repo, cls AS subject, '{text} ''' || key || ''' in ' || cls || ': [' || who || ']' AS description FROM (SELECT l.repo, l.cls, {key} AS key, count(*) AS n, string_agg(a.{atom}, ', ' ORDER BY a.ord, a.{atom}) AS who FROM {members} l JOIN {atoms} a ON a.repo = l.repo AND a.{atom} = l.{atom} GROUP BY ALL) WHERE n > 1"
+    return f"SELECT repo, cls AS subject, '{text} ''' || key || ''' in ' || cls || ': [' || who || ']' AS description FROM (SELECT l.repo, l.cls, {key} AS key, count(*) AS n, string_agg(a.{atom}, ', ' ORDER BY a.ord, a.{atom}) AS who FROM {members} l JOIN {atoms} a ON a.repo = l.repo AND a.{atom} = l.{atom} GROUP BY ALL) WHERE key IS NOT NULL AND n > 1"
 
 
 EXACT = "member_name || '(' || param_types || ')'"
@@ -24,6 +24,9 @@ OVERRIDES = "WITH ov AS (SELECT l.repo, l.cls, l.method, l.return_type, l.is_abs
 KEY = "CASE WHEN len(ts) = 0 THEN member_name ELSE member_name || '(' || array_to_string(ts, ',') || ')' END"
 TYPES = "list_sort(list_filter(list_transform(string_split(param_types, ','), lambda x: trim(x)), lambda x: x <> ''))"
 
+#: Methods with the checker's key.
+KEYED = f"(SELECT *, {KEY} AS key FROM (SELECT *, {TYPES} AS ts FROM met))"
+
 
 def _seen(chain: str) -> str:
     """What of need has a binding by the class or one of its chain."""
@@ -53,6 +56,14 @@ def _difference(atoms: str, atom: str, local: str, given: str, key: list[str], r
         UNION ALL SELECT repo, member, member || ' is missing from {relation} of ' || cls FROM inh ANTI JOIN g USING (repo, cls, member))"""
 
 
+def _keys(name: str, folder: str, edit: str, gone: int) -> str:
+    """The steps up to `name`, the extraction key of each repository of one state."""
+    return f"""{name}_leaf AS (SELECT repo, substr(sha256(path), 1, 3) AS leaf, sha256(string_agg(h, chr(10) ORDER BY h)) AS h
+        FROM (SELECT repo, path, path || ':' || sha256(coalesce(content, '')) AS h FROM (SELECT coalesce(source, 'none') || '-' || (doc_id % 40) AS repo, {folder} || 'F' || doc_id || '.java' AS path,
+            CASE WHEN doc_id % 40 = 5 AND doc_id % 4 = 1 THEN text || '{edit}' ELSE text END AS content FROM documents WHERE doc_id % 40 <> {gone} AND doc_id % 9 <> 0 AND doc_id % 8 <> 3)) GROUP BY ALL),
+    {name} AS (SELECT repo, sha256('spoon-v2' || chr(10) || '' || chr(10) || '17' || chr(10) || 'false' || chr(10) || sha256(string_agg(leaf || ':' || h, chr(10) ORDER BY leaf || ':' || h))) AS key FROM {name}_leaf GROUP BY repo)"""
+
+
 CHECKS = {
     "chk_duplicate_names": "SELECT repo, name AS subject, 'Duplicate name ''' || name || ''' used by: ' || who AS description FROM (SELECT repo, name, count(*) AS n, string_agg(cls, ', ' ORDER BY rn) AS who FROM cls GROUP BY ALL) WHERE n > 1",
     "chk_duplicate_ids": " UNION ALL ".join(
@@ -85,9 +96,11 @@ CHECKS = {
         FROM need ANTI JOIN seen USING (repo, cls, method) WHERE EXISTS (SELECT 1 FROM bin b WHERE b.repo = need.repo AND b.target = need.method))""",
     "chk_abstract_in_concrete": "SELECT lm.repo, lm.method AS subject, 'Non-abstract classifier ' || lm.cls || ' contains abstract method ' || lm.method AS description FROM lm JOIN cls c ON c.repo = lm.repo AND c.cls = lm.cls JOIN met m ON m.repo = lm.repo AND m.method = lm.method WHERE c.is_abstract = 'No' AND m.is_abstract = 'Yes'",
     "chk_static_abstract": "SELECT repo, method AS subject, 'Method ' || method || ' is both static and abstract' AS description FROM met WHERE scope = 'Static' AND is_abstract = 'Yes'",
-    "chk_local_namespace": _space("lm", "met", "method", EXACT, "Duplicate method key"),
+    "chk_local_namespace": _space("lm", KEYED, "method", "key", "Duplicate method key"),
+    "spec_local_namespace": _space("lm", "met", "method", EXACT, "Duplicate method signature"),
     "chk_local_attr_namespace": _space("la", "att", "attribute", "member_name", "Duplicate attribute name"),
-    "chk_inherited_method_conflict": _space("im", "met", "method", EXACT, "Inherited method conflict key"),
+    "chk_inherited_method_conflict": _space("im", KEYED, "method", "key", "Inherited method conflict key"),
+    "spec_inherited_method_conflict": _space("im", "met", "method", EXACT, "Inherited method conflict signature"),
     "chk_inherited_attr_conflict": _space("ia", "att", "attribute", "member_name", "Inherited attribute conflict"),
     "spec_override_return": f"""SELECT * FROM ({OVERRIDES} SELECT DISTINCT repo, method AS subject, 'Override ' || method || ' (returnType ' || return_type || ') in ' || cls
         || ' differs from overridden ' || base || ' (returnType ' || base_type || ')' AS description FROM ov WHERE return_type <> base_type)""",
@@ -133,7 +146,7 @@ INVARIANTS = {
     "chk_inherited_method_conflict": "InheritedConflictPolicy", "chk_inherited_attr_conflict": "InheritedConflictPolicy", "chk_override_return": "OverridePolicy",
 }
 OTHER_INVARIANTS = {
-    "chk_local_attr_namespace": "LocalAttributeNamespace", "spec_unresolved": "AbstractionPolicy", "spec_override_return": "OverridePolicy",
+    "chk_local_attr_namespace": "LocalAttributeNamespace", "spec_local_namespace": "LocalMethodNamespace", "spec_inherited_method_conflict": "InheritedConflictPolicy", "spec_unresolved": "AbstractionPolicy", "spec_override_return": "OverridePolicy",
     "spec_override_implemented": "OverridePolicy", "spec_owner_count": "ExclusiveDeclarationOwnership", "spec_inherited_methods": "InheritedMemberDerivation",
     "spec_inherited_attributes": "InheritedMemberDerivation", "spec_body_count": "ImplementationBindingPolicy", "spec_binding_count": "ImplementationBindingPolicy",
     "spec_abstract_instances": "AbstractNoDirectInstances", "spec_object_classes": "ObjectsInOneClass", "spec_unique_oids": "UniqueOids",
@@ -157,6 +170,10 @@ WANTED = "contains(lower(name), 'a') AND license IN ('Brand#11', 'Brand#12', 'Br
 URL = r"^(?i:https)://([A-Za-z0-9.-]+)(?::443)?/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?i:\.git)?/?$"
 
 ON_INSTANCE = CHECKS | {
+    "incremental_report": f""", {FOUND} SELECT r.repo, state, check_name, n FROM (SELECT DISTINCT repo, CASE WHEN repo = 'Brand#13' THEN 'added' WHEN repo LIKE '%5' THEN 'changed' ELSE 'same' END AS state FROM cls
+        UNION ALL SELECT DISTINCT 'Old#13', 'removed' FROM cls WHERE repo = 'Brand#13') r LEFT JOIN (SELECT repo, check_name, count(*) AS n FROM v GROUP BY ALL) c ON c.repo = r.repo""",
+    "violation_cube": f""", {FOUND}, {ROWS} SELECT family, result, invariant, CAST(grouping(family, result, invariant) AS BIGINT) AS grouping, count(*) AS n
+        FROM (SELECT upper(substr(repository, 1, 7)) AS family, result, nullif(nullif(constraint_name, 'AcyclicGeneralization'), '') AS invariant FROM rr) GROUP BY CUBE (family, result, invariant)""",
     "whole_verdict": f", {WHOLE} SELECT r.repo, CASE WHEN n > 0 THEN 'UNSAT' ELSE 'SAT' END AS result, coalesce(n, 0) AS n_violations FROM (SELECT DISTINCT repo FROM cls) r LEFT JOIN (SELECT repo, count(*) AS n FROM v GROUP BY 1) USING (repo)",
     "whole_matrix": f", {WHOLE} SELECT repo, invariant, check_name, count(*) AS n FROM v GROUP BY ALL",
     "whole_dead": f", {WHOLE} SELECT invariant FROM (SELECT unnest({sorted({*INVARIANTS.values(), *OTHER_INVARIANTS.values()})}) AS invariant) ANTI JOIN v USING (invariant)",
@@ -257,7 +274,16 @@ PLAIN = {
         c AS (SELECT source, j // 1000 AS l, sha256(string_agg(h, chr(10) ORDER BY j)) AS h FROM b GROUP BY source, j // 1000),
         d AS (SELECT source, sha256(string_agg(h, chr(10) ORDER BY l)) AS fingerprint FROM c GROUP BY source)
         SELECT source, fingerprint, sha256(fingerprint || '|compliance=17|rules=checker') AS verify_key FROM d""",
-    "invariant_lookup": "SELECT event_id, named FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS named FROM events) WHERE event_type = 'error'",
+    "invariant_lookup": """WITH sl AS (SELECT o_custkey % 50 AS spec, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS line, o_orderkey AS k FROM orders),
+        inv AS (SELECT spec, line, CASE WHEN k % 26 = 0 THEN 'Inv_' || k ELSE 'Last_' || k END AS name FROM sl WHERE k % 13 = 0 AND (k % 26 = 0 OR k % 39 <> 0)),
+        final AS (SELECT spec, max(line) AS m FROM sl GROUP BY 1),
+        v AS (SELECT event_id, user_id % 50 AS spec, CASE WHEN event_id % 31 <> 0 THEN event_id * 7 % 400 - 2 END AS line, CASE WHEN event_id % 11 = 0 THEN 'Given' END AS given FROM events)
+        SELECT event_id, v.line AS line, coalesce(given, CASE WHEN v.line BETWEEN 1 AND m AND v.line - inv.line <= 10 THEN name END) AS invariant
+        FROM v ASOF LEFT JOIN inv ON v.spec = inv.spec AND v.line >= inv.line LEFT JOIN final ON final.spec = v.spec""",
+    "cache_diff": f"""WITH {_keys("old", "CASE WHEN doc_id % 40 = 7 AND doc_id % 3 = 0 THEN 'old/' ELSE 'src/' END", "x", 3)}, {_keys("new", "CASE WHEN doc_id % 40 = 7 AND doc_id % 3 = 0 THEN 'new/' ELSE 'src/' END", "y", 2)}
+        SELECT coalesce(o.repo, n.repo) AS repo, CASE WHEN n.repo IS NULL THEN 'removed' WHEN o.repo IS NULL THEN 'added' WHEN o.key = n.key THEN 'same' ELSE 'changed' END AS extraction,
+        CASE WHEN n.repo IS NULL THEN 'removed' WHEN o.repo IS NULL THEN 'added' WHEN o.key = n.key AND o.repo NOT LIKE '%-11' AND o.repo NOT LIKE '%-12' THEN 'same' ELSE 'changed' END AS verification
+        FROM old o FULL JOIN new n ON n.repo = o.repo""",
     "existing_state": """SELECT CAST(k AS VARCHAR) AS item, bool_or(e) AS extracted, bool_or(r) AS reported
         FROM (SELECT c_custkey AS k, true AS e, false AS r FROM customer UNION ALL SELECT o_custkey, false, true FROM orders WHERE o_orderstatus = 'F') GROUP BY k""",
     "extract_py": f"""{PYTHON} SELECT repo, path, 'Base' || k AS qualifiedName, 'interface' AS kind, NULL AS superClass, '' AS interfaces, true AS abstractType, CAST(1 AS BIGINT) AS methods FROM f

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from structcheck.functions import numbers, text
-from structcheck.operators import catalog, closure, inherit, rules
+from structcheck.functions import numbers, tables, text
+from structcheck.operators import cache, catalog, closure, inherit, rules, spec_lines
 from structcheck.sources import catalog_pages, extraction, instance_text, listing, python_source, sinks
 from structcheck.streaming import progress
 
@@ -351,12 +352,85 @@ def combined_report(spark, sf_dir):
     return sinks.result_rows(found, repos).withColumn("repository", F.lower("repository"))
 
 
+def _spec_lines(spark, sf_dir) -> DataFrame:
+    """The lines of 50 specifications: each order is a line, every 13th names an invariant, some of these badly."""
+    o, k = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    line = F.row_number().over(Window.partitionBy(F.col("o_custkey") % 50).orderBy(k))
+    head = F.when(k % 26 == 0, F.concat(F.lit("  invariant Inv_"), k, F.lit(" : all c"))).when(k % 39 == 0, F.concat(F.lit("invariant "), k, F.lit(":"))).otherwise(F.concat(F.lit("invariant Last_"), k, F.lit(":")))
+    return o.select((F.col("o_custkey") % 50).alias("spec"), line.alias("line"), F.when(k % 13 == 0, head).otherwise("  some c").alias("text"))
+
+
 def invariant_lookup(spark, sf_dir):
-    """For each event of kind error, the nearest event of kind view at most ten places before it."""
-    e = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    near = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-10, -1)
-    found = e.withColumn("named", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(near))
-    return found.filter("event_type = 'error'").select("event_id", "named")
+    """The names of violations from the lines of their specification; some have one, some lie beyond its end."""
+    e, k = _table(spark, sf_dir, "events"), F.col("event_id")
+    line = F.when(k % 31 != 0, F.floor(k * 7 % 400) - 2)
+    found = e.select("event_id", (F.col("user_id") % 50).alias("spec"), line.alias("line"), F.when(k % 11 == 0, "Given").alias("invariant"))
+    return spec_lines.named(found, _spec_lines(spark, sf_dir)).select("event_id", "line", "invariant")
+
+
+def _cached_files(spark, sf_dir, before: bool) -> DataFrame:
+    """Source files of repositories in two states: some are edited, moved, new or gone, some lie in folders that do not count."""
+    k = F.col("doc_id")
+    repo = F.concat_ws("-", F.coalesce("source", F.lit("none")), (k % 40).cast("string"))
+    folder = F.when(k % 9 == 0, "build/").when((k % 40 == 7) & (k % 3 == 0), F.lit("old/" if before else "new/")).otherwise("src/")
+    content = F.when((k % 40 == 5) & (k % 4 == 1), F.concat("text", F.lit("x" if before else "y"))).otherwise(F.col("text"))
+    content = F.when((k % 9 == 0) & F.lit(before), "stale").otherwise(content)
+    path = F.concat(folder, F.lit("F"), k.cast("string"), F.when(k % 8 == 3, ".txt").otherwise(".java"))
+    gone = k % 40 == (3 if before else 2)
+    return _table(spark, sf_dir, "documents").filter(~gone).select(repo.alias("repo"), path.alias("path"), content.alias("content"))
+
+
+SPECIFICATION = "invariants of the checker"
+
+
+def cache_diff(spark, sf_dir):
+    """What a second run has to extract and to verify: the keys of one state stored, read again and held against another's.
+
+    Repositories of number 11 have an extraction and no verification; those of number 12 have lost their report.
+    """
+    path = f"{tables.shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    old = cache.extraction_keys(_cached_files(spark, sf_dir, True)).withColumn("types", F.lit(1))
+    checked = old.filter(~F.col("repo").endswith("-11")).select("repo", cache.verification_key("extraction_key", SPECIFICATION).alias("verification_key"))
+    cache.save(cache.with_extractions(cache.load(spark, path), old), path)
+    cache.save(cache.with_verifications(cache.load(spark, path), checked), path)
+    new = cache.extraction_keys(_cached_files(spark, sf_dir, False))
+    new = new.withColumn("verification_key", cache.verification_key("extraction_key", SPECIFICATION))
+    outputs = old.select("repo", F.lit(True).alias("extracted"), (~F.col("repo").endswith("-12")).alias("reported"))
+    return cache.diff(cache.load(spark, path), new, outputs)
+
+
+def incremental_report(spark, sf_dir):
+    """Violations by repository and check after a second run that checks only what changed since the first.
+
+    Between the runs the names of some classes change in repositories that end in 5, and Brand#13 was called Old#13.
+    """
+    folder = f"{tables.shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    now = bridge.instance(spark, sf_dir, keep=True)
+    once = rules.Instance(*[df.withColumn("repo", F.when(F.col("repo") == "Brand#13", "Old#13").otherwise(F.col("repo"))) for df in now[:11]])
+    renamed = F.col("repo").endswith("5") & (F.col("ord") % 10 == 0)
+    once = once._replace(classifier=once.classifier.withColumn("name", F.when(renamed, F.concat("name", F.lit("x"))).otherwise(F.col("name"))))
+
+    def run(m: rules.Instance) -> DataFrame:
+        files = m.classifier.select("repo", F.concat("cls", F.lit(".java")).alias("path"), F.concat_ws("|", "cid", "name", "is_abstract").alias("content"))
+        keys = cache.extraction_keys(files).join(m.classifier.groupBy("repo").agg(F.count(F.lit(1)).alias("types")), "repo")
+        keys = keys.withColumn("verification_key", cache.verification_key("extraction_key", SPECIFICATION))
+        return cache.refresh(folder, keys, lambda repos: rules.violations(rules.restricted(m, repos), rules.names_of("checker")))
+
+    run(once)
+    changes = run(now).select("repo", F.col("verification").alias("state"))
+    n = cache.reports(spark, folder).groupBy("repo", "check_name").agg(F.count(F.lit(1)).alias("n"))
+    return changes.join(n, "repo", "left").select("repo", "state", "check_name", "n")
+
+
+def violation_cube(spark, sf_dir):
+    """Violations by result, invariant and check with all subtotals; `grouping` tells a subtotal from a missing name.
+
+    Constraints of cycles have no name here, as in reports whose specification could not be read.
+    """
+    found, repos = _reported(spark, sf_dir)
+    rows = sinks.result_rows(found, repos).select("result", F.nullif(F.nullif("constraint_name", F.lit("AcyclicGeneralization")), F.lit("")).alias("invariant"), F.upper(F.substring("repository", 1, 7)).alias("family"))
+    totals = rows.cube("family", "result", "invariant").agg(F.grouping_id().alias("grouping"), F.count(F.lit(1)).alias("n"))
+    return totals.select("family", "result", "invariant", F.col("grouping").cast("long").alias("grouping"), "n")
 
 
 def existing_state(spark, sf_dir):
@@ -564,7 +638,7 @@ NAMED = [
     distinct_repos, queue_dedup, queue_merge, queue_merge_stats, latest_status, queue_ready, status_timeline, language_vote, file_filter, fingerprint, combined_report, invariant_lookup, existing_state, extract_py,
     all_violations, extract_py_members, dedup_types, type_count, sort_types, extraction_json, rel_local_methods, rel_local_attributes, param_signature, aie_render, aie_round_trip,
     report_json, result_csv, results_for_repo, summary_txt, error_verdict, compat_first_id, compat_first_cycle, catalog_filters, catalog_selected, catalog_scan, catalog_page_count,
-    source_roots, url_list, progress_percent, date_parse,
+    source_roots, url_list, progress_percent, date_parse, cache_diff, incremental_report, violation_cube,
 ]
 
 
