@@ -253,6 +253,7 @@ ON_INSTANCE = CHECKS | {
 }
 
 LANGUAGE = "CASE WHEN doc_id % 7 < 3 THEN 'PYTHON' WHEN doc_id % 7 < 5 THEN 'JAVA' ELSE 'CPP' END"
+DECLARED = "WITH f AS (SELECT p_brand AS repo, p_partkey AS k, p_size AS size, p_size % 5 AS z, 'F' || p_partkey AS path FROM part UNION ALL SELECT p_brand, p_partkey, p_size, p_size % 5, 'again/F' || p_partkey FROM part WHERE p_partkey % 5 = 0)"
 PYTHON = """WITH p AS (SELECT p_brand AS repo, p_partkey AS k, p_size AS size, 'f' || p_partkey || '.py' AS path FROM part), s AS (SELECT * FROM p UNION ALL SELECT repo, k, size, 'again/' || path FROM p WHERE k % 5 = 0), f AS (SELECT * FROM s WHERE k % 17 <> 0)"""
 PLAIN = {
     "catalog_search": f"WITH {CATALOG} SELECT id, name, license, stars FROM cat WHERE {WANTED}",
@@ -292,6 +293,14 @@ PLAIN = {
             ('executable', 'run', 'int', 'public', false, 'a:str,b:unknown')) x(member, name, type, visibility, static, params)
         UNION ALL SELECT repo, path, 'C' || k, x.member, x.name || CASE WHEN x.name = 'make' THEN CAST(size AS VARCHAR) ELSE '' END, x.type, x.visibility, x.static, x.params FROM f, (VALUES ('field', '__slots', 'unknown', 'private', false, ''),
             ('executable', '__init__', 'None', 'private', false, 'x:int'), ('executable', 'make', 'None', 'public', true, 'n:Size'), ('executable', '_run', 'None', 'protected', false, '')) x(member, name, type, visibility, static, params)""",
+    "extract_java": f"""{DECLARED} SELECT repo, path || '.java' AS path, 'p' || z || '.A' || k AS qualifiedName, 'class' AS kind, 'p' || z || '.Base' || k AS superClass, 'java.lang.Runnable' AS interfaces, true AS abstractType,
+            'm:int[]:package-private,n' || size || ':int:package-private,s:java.lang.String:private' AS fields, 'go():void:static:package-private;run(int,List):int:abstract:package-private;<init>(q.Helper):-:public' AS executables FROM f
+        UNION ALL SELECT repo, path || '.java', 'p' || z || '.Base' || k, 'class', NULL, '', false, '', '<init>():-:package-private' FROM f
+        UNION ALL SELECT repo, path || '.java', 'p' || z || '.I' || k, 'interface', NULL, '', true, 'X:int:public', 'f(p' || z || '.Base' || k || '[]):void:abstract:public' FROM f
+        UNION ALL SELECT repo, path || '.java', 'p' || z || '.E' || k, 'enum', NULL, '', false, 'ONE:p' || z || '.E' || k || ':public,TWO:p' || z || '.E' || k || ':public,v:int:private', '<init>():-:private' FROM f""",
+    "extract_cpp": f"""{DECLARED} SELECT repo, path || '.hpp' AS path, 'n' || z || '.m.Shape' || k AS qualifiedName, 'class' AS kind, NULL AS superClass, '' AS interfaces, true AS abstractType,
+            'size' || size || ':int:public,p:int *:public' AS fields, 'draw(const char *,std::map<int, int>):void:abstract:public;operator(const Shape' || k || ' &):bool:public' AS executables FROM f WHERE path NOT LIKE 'again%'
+        UNION ALL SELECT repo, path || '.hpp', 'n' || z || '.m.Box' || k, 'class', 'Shape' || k, 'Mixin', false, '', 'draw(const char *,std::map<int, int>):void:public;make():Box' || k || ':static:' || 'private' FROM f WHERE path NOT LIKE 'again%'""",
     "dedup_types": f"{PYTHON} SELECT repo, n AS qualifiedName, min(path) AS path FROM (SELECT repo, path, unnest(['Base' || k, 'C' || k, 'C' || k || '.Inner']) AS n FROM f) GROUP BY ALL",
     "catalog_filters": """WITH c AS (SELECT p_partkey AS id, p_name AS name, p_type AS type, p_partkey % 50 AS forks, 'Owner' || (p_partkey % 20) AS owner,
             strftime(DATE '2020-01-01' + CAST(p_partkey % 900 AS INTEGER), '%Y-%m-%d') AS created_at FROM part)

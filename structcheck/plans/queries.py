@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from structcheck.functions import numbers, tables, text
 from structcheck.operators import cache, catalog, closure, inherit, rules, spec_lines
-from structcheck.sources import catalog_pages, extraction, instance_text, listing, python_source, sinks
+from structcheck.sources import catalog_pages, declarations, extraction, instance_text, listing, python_source, sinks
 from structcheck.streaming import progress
 
 from . import bridge
@@ -475,6 +475,62 @@ def dedup_types(spark, sf_dir):
     return python_source.first_of_name(python_source.extract(_sources(spark, sf_dir))).select("repo", "qualifiedName", "path")
 
 
+def _declared(spark, sf_dir, text: list) -> DataFrame:
+    """Source files made from the part table, `text` with {k} and {size} of the part and {z} of five packages."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    filled = F.lit(text[1])
+    for mark, value in (("{k}", k), ("{size}", size), ("{z}", (F.col("p_size") % 5).cast("string"))):
+        filled = F.replace(filled, F.lit(mark), value)
+    p = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("repo"), F.col("p_partkey").alias("k"), F.concat(F.lit("F"), k, F.lit(text[0])).alias("path"), filled.alias("content"))
+    again = p.filter("k % 5 = 0").select("repo", "k", F.concat(F.lit("again/"), "path").alias("path"), "content")
+    return p.unionByName(again).select("repo", "path", "content")
+
+
+JAVA = [
+    ".java",
+    """package p{z}; // {
+import q.Helper;
+/* class No { */ public abstract class A{k} extends Base{k} implements Runnable {
+    private String s = "};{"; int n{size} = 1, m[] = {1, 2};
+    public A{k}(Helper h) { this.s = "}"; }
+    @Note(of = {"a", "b"}) abstract int run(int a, List<Map<String, Integer>> b);
+    static void go() { if (1 < 2) { class Local { int hidden; } } }
+    class Inner { int hidden; }
+}
+class Base{k} { }
+interface I{k} { int X = 1; void f(Base{k}... all); }
+enum E{k} { ONE("{"), TWO { void g() { } }; private int v; }
+""",
+]
+CPP = [
+    ".hpp",
+    """#define OPEN {
+namespace n{z} { namespace m {
+class Fwd;
+class Shape{k} { int secret; public: virtual void draw(const char* s, std::map<int, int> n = {}) = 0; int size{size} = 2, *p;
+    Shape{k}() : secret(1) {} bool operator==(const Shape{k}& o) const { return "}" != R"x({{)x"; } };
+struct Box{k} final : public Shape{k}, private ns::Mixin<int, 2> { void draw(const char* s, std::map<int, int>) override { if (1) { } } struct In { int z; }; private: int q; static Box{k} make(); };
+template <typename T> class Of { T t; };
+} }
+""",
+]
+
+
+def _shown_types(t: DataFrame) -> DataFrame:
+    executable = lambda e: F.concat(e["name"], F.lit("("), F.array_join(F.transform(e["parameters"], lambda p: p["type"]), ","), F.lit("):"), F.coalesce(e["returnType"], F.lit("-")), F.when(e["staticExecutable"], ":static").otherwise(""), F.when(e["abstractExecutable"], ":abstract").otherwise(""), F.lit(":"), e["visibility"])
+    fields = F.array_join(F.transform("fields", lambda f: F.concat_ws(":", f["name"], f["type"], f["visibility"])), ",")
+    return t.select("repo", "path", "qualifiedName", "kind", "superClass", F.array_join("interfaces", ",").alias("interfaces"), "abstractType", fields.alias("fields"), F.array_join(F.transform("executables", executable), ";").alias("executables"))
+
+
+def extract_java(spark, sf_dir):
+    """Types of Java files with their members, found by scanning brackets."""
+    return _shown_types(declarations.java_types(_declared(spark, sf_dir, JAVA)))
+
+
+def extract_cpp(spark, sf_dir):
+    return _shown_types(declarations.cpp_types(_declared(spark, sf_dir, CPP)))
+
+
 def type_count(spark, sf_dir):
     return extraction.type_count(_extraction(spark, sf_dir))
 
@@ -638,7 +694,7 @@ NAMED = [
     distinct_repos, queue_dedup, queue_merge, queue_merge_stats, latest_status, queue_ready, status_timeline, language_vote, file_filter, fingerprint, combined_report, invariant_lookup, existing_state, extract_py,
     all_violations, extract_py_members, dedup_types, type_count, sort_types, extraction_json, rel_local_methods, rel_local_attributes, param_signature, aie_render, aie_round_trip,
     report_json, result_csv, results_for_repo, summary_txt, error_verdict, compat_first_id, compat_first_cycle, catalog_filters, catalog_selected, catalog_scan, catalog_page_count,
-    source_roots, url_list, progress_percent, date_parse, cache_diff, incremental_report, violation_cube,
+    source_roots, url_list, progress_percent, date_parse, cache_diff, incremental_report, violation_cube, extract_java, extract_cpp,
 ]
 
 

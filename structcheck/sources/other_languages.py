@@ -1,4 +1,4 @@
-"""Types of Java and C++ source files. Their parsers are not part of this engine: a caller gives one.
+"""Files of other languages, and types of files that a caller's own parser reads. For Java and C++ see `declarations`.
 
 A parser takes the text of a file and yields dictionaries with the fields of `extraction.TYPE`. It runs in the tasks that
 hold the files, so it must be importable, or picklable, there.
