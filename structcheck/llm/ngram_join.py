@@ -5,7 +5,8 @@ are joined. Two sets of likeness t or more share one of the first ``s - ceil(t s
 common to all; the order here is rare first, by counts over the whole corpus (in hashed buckets, so that their size is
 bounded; a bucket's count only orders, it never drops). Candidates share a prefix n-gram and pass filters that lose no
 link: by length, by the positions of the shared n-gram, and by a suffix filter, a histogram of the hashes whose
-distance is at most that of the sets. Each candidate pair is verified once, on the whole sets.
+distance is at most that of the sets. Each candidate pair is verified once, on the whole sets: what a step has tested, later
+ones leave out.
 
 Only connectivity is asked for, so pairs within a known component need no test. Lists of up to SHORT nodes are tested
 pair by pair; of longer lists each node is first tested against one hub alone. What a list then still holds of several
@@ -543,7 +544,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     made = sets(near.select(F.explode(F.array("a", "b")).alias("node")))
     links = written(verified(near, made, percent), "links")
     known = merged(None, links)
-    discard(made, near)
+    discard(made)
 
     rest = written(tiles(with_components(long, known), block, total), "tiles")
     close = written(across(rest.join(classes.select("node", "hist").hint("merge"), "node"), percent, "rows"), "close")
@@ -553,17 +554,18 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     early = lists.join(nodes, "node").groupBy("node").agg(F.transform(F.slice(order, 1, EARLY), lambda x: x["gram"]).alias("early"))
     described = written(fine(made).join(early, "node"), "fine")
     grown = written(across(close.join(described, "node"), percent, "forest"), "forest")
-    forest = written(grown.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    forest = written(grown.filter("a IS NOT NULL").select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "pairs")
     links = written(verified(forest, made, percent), "links")
     known = merged(known, links)
     tile = ["gram", "lo", "hi"]
     left = with_components(grown.filter("a IS NULL").drop("a", "b", "comp"), known)
     mixed = left.groupBy(*tile).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y")).select(*tile)
-    more = written(across(left.join(mixed, tile, "left_semi").join(described, "node"), percent, "pairs").distinct(), "pairs")
+    more = across(left.join(mixed, tile, "left_semi").join(described, "node"), percent, "pairs").distinct()
+    more = written(more.join(near.unionByName(forest), ["a", "b"], "left_anti"), "pairs")
     links = written(verified(more, made, percent), "links")
     if not links.isEmpty():
         known = merged(known, links)
-    discard(made, rest, close, described, grown, forest, more, lists, active)
+    discard(near, made, rest, close, described, grown, forest, more, lists, active)
 
     rooted = classes.select("fp", "node").join(known, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     return base.select("id", "digest", "fp", "size").join(rooted, "fp", "left").select("id", "digest", "size", "root")
