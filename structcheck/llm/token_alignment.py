@@ -7,8 +7,8 @@ counts the documents that hold it linked; a link is best if its pair has the hig
 Each task aligns its documents and turns their pairs with multiplicities into postings: for each pair of ids of a chunk
 of documents, which of these hold it and how often. Postings are shuffled by the id of side A and sorted, so that a
 task streams them and holds the counts of one id at a time: the counts of an id come before its postings, its maximum
-is known when they arrive, and what each document gains is added up and emitted; sums by document end it. Sorting
-spills, streaming holds a slice. Counts are added up before they are shuffled. An id with very many postings would
+is known when they arrive, and what each document gains is added up and emitted, packed by chunk; a second sorted
+stream sums by document. Sorting spills, streaming holds a slice. Counts are added up before they are shuffled. An id with very many postings would
 be one task's work: its postings are dealt by chunk instead, and the counts of such ids, a few times the vocabulary, go
 along to each part.
 """
@@ -189,19 +189,33 @@ def aligned(docs: DataFrame, aligner_args: tuple[str, str, str]) -> DataFrame:
     return given.mapInArrow(lean(run), schema_with(given.select("id"), node="long", n_a="long", n_b="long", n_groups="long", digest="string", code="long", base="long", n="long", postings="binary"))
 
 
+def summed(nodes: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct nodes in order, and the sums of each of the values over them."""
+    order = np.argsort(nodes, kind="stable")
+    nodes = nodes[order]
+    starts = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+    return nodes[starts], *(np.add.reduceat(v[order], starts) for v in values)
+
+
 def contributions(sorted_rows: DataFrame, size_b: int) -> DataFrame:
-    """node, n_best, count_sum from rows sorted by part and A id, an id's counts (kind 0) before its postings (kind 1)."""
+    """(base, gained): for each chunk what its documents gain, packed, from rows sorted by part and A id, an id's counts
+    (kind 0) before its postings (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = counts = np.zeros(0, np.int64)
-        nodes, best, sums, size = [], [], [], 0
+        nodes, bases, best, sums, size = [], [], [], [], 0
 
         def added() -> pa.RecordBatch:
-            node = np.concatenate(nodes)
-            order = np.argsort(node, kind="stable")
-            node = node[order]
-            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            return pa.RecordBatch.from_arrays([pa.array(node[starts]), *(pa.array(np.add.reduceat(np.concatenate(x)[order], starts)) for x in (best, sums))], ["node", "n_best", "count_sum"])
+            node, top, total = summed(np.concatenate(nodes), np.concatenate(best), np.concatenate(sums))
+            known = np.unique(np.concatenate(bases))
+            chunk = known[np.searchsorted(known, node, "right") - 1]  # nodes of a chunk lie between its base and the next
+            starts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+            steps = np.diff(node, prepend=0)
+            steps[starts] = node[starts] - chunk[starts]
+            data, at = varints(np.stack([steps, top, total], 1).ravel())
+            offsets = at[np.concatenate([3 * starts, [3 * len(node)]])].astype(np.int32)
+            lists = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), lists], ["base", "gained"])
 
         for b in batches:
             if not len(b):
@@ -228,18 +242,45 @@ def contributions(sorted_rows: DataFrame, size_b: int) -> DataFrame:
                 i = np.searchsorted(codes, code[some])
                 count = np.repeat(counts[i], lengths)
                 nodes.append(node)
+                bases.append(b.column(3).to_numpy()[some])
                 sums.append(count * entries[:, 1])
                 best.append(np.where(np.repeat(counts[i] == top[i], lengths), entries[:, 1], 0))
                 size += len(node)
                 if size >= BUFFER:
                     yield added()
-                    nodes, best, sums, size = [], [], [], 0
+                    nodes, bases, best, sums, size = [], [], [], [], 0
             keep = codes // size_b == code[-1] // size_b
             codes, counts = codes[keep], counts[keep]
         if size:
             yield added()
 
-    return sorted_rows.select("code", "kind", "n", "base", "postings").mapInArrow(lean(run), "node long, n_best long, count_sum long")
+    return sorted_rows.select("code", "kind", "n", "base", "postings").mapInArrow(lean(run), "base long, gained binary")
+
+
+def by_document(gained: DataFrame) -> DataFrame:
+    """node, n_best, count_sum: the packed gains (base, gained) of each chunk added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def total() -> pa.RecordBatch:
+            parts = [p.reshape(-1, 3) for p in held]
+            node = np.concatenate([now + np.cumsum(p[:, 0]) for p in parts])
+            sums = summed(node, *(np.concatenate([p[:, i] for p in parts]) for i in (1, 2)))
+            return pa.RecordBatch.from_arrays(list(map(pa.array, sums)), ["node", "n_best", "count_sum"])
+
+        for b in batches:
+            for base, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if base != now:
+                    if held:
+                        yield total()
+                    now, held = base, []
+                held.append(numbers(np.frombuffer(data, np.uint8)))
+        if held:
+            yield total()
+
+    dealt = gained.repartition("base").sortWithinPartitions("base")
+    return dealt.mapInArrow(lean(run), "node long, n_best long, count_sum long")
 
 
 def align(docs: DataFrame, tokenizer_path: str, ranks_path: str, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,8 +318,7 @@ def align(docs: DataFrame, tokenizer_path: str, ranks_path: str, model_path: str
     none = [F.lit(0).cast("long").alias("base"), F.lit(None).cast("binary").alias("postings")]
     both = heads.select("hot", F.explode(to).alias("part"), "a", F.lit(0).alias("kind"), "code", "n", *none).unionByName(listed.select("hot", "part", "a", F.lit(1).alias("kind"), "code", "n", "base", "postings"))
     dealt = both.repartition("hot", "part").sortWithinPartitions("hot", "part", "a", "kind", "code")
-    gained = contributions(dealt, size_b).select("node", "n_best", "count_sum")
+    sums = by_document(contributions(dealt, size_b))
     stats = rows.filter(F.col("code").isNull()).select("node", "id", "n_a", "n_b", "n_groups", "digest")
-    sums = gained.groupBy("node").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     each = stats.join(sums, "node", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_best", "count_sum")})
     return each.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), "n_best", "count_sum", F.col("digest").alias("groups_sha256"))
