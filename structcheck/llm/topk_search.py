@@ -25,6 +25,8 @@ from .common import finite, matrix, written
 
 #: What scoring one component of a possible member costs against adding one posting; both are measured in numpy.
 EXACT_COST = 0.25
+#: The first round takes impacts from this fraction of the highest one on.
+FIRST = 512
 #: Components up to this magnitude have a table of segment ends; larger ones are searched for.
 TABLED = 1024
 
@@ -34,18 +36,21 @@ class ImpactIndex:
 
     def __init__(self, x: np.ndarray, rank: np.ndarray):
         self.x, self.rank = x, rank
-        self.docs = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)
+        self.docs = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T)
         self.values = np.ascontiguousarray(np.take_along_axis(x, self.docs.T, 0).T)
         self.peak = int(np.abs(x).max(initial=0))
-        self.real = x.astype(np.float64)
+        self.single, self.double = x.astype(np.float32), x.astype(np.float64)
+        self.impacts = self.values.astype(np.float64)
         self.upto = None
         if self.peak <= TABLED:  # postings of a dimension with a component up to the given one, from -peak - 1 to peak
             steps = np.arange(-self.peak - 1, self.peak + 1)
             self.upto = np.stack([np.searchsorted(v, steps, "right") for v in self.values])
 
     def exact(self, q: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        if int(np.abs(q).sum()) * self.peak < 1 << 53:  # products and sums that doubles hold exactly
-            return (self.real[docs] @ q.astype(np.float64)).astype(np.int64)
+        bound = int(np.abs(q).sum()) * self.peak  # of all sums on the way, which a float holds exactly up to its digits
+        for digits, x in ((24, self.single), (53, self.double)):
+            if bound < 1 << digits:
+                return (x[docs] @ q.astype(x.dtype)).astype(np.int64)
         return self.x[docs] @ q
 
     def ends(self, q: np.ndarray, least: int) -> np.ndarray:
@@ -63,23 +68,26 @@ class ImpactIndex:
         many, width = self.x.shape
         possible = np.arange(many)
         highest = int(np.abs(q).max(initial=0)) * self.peak
-        # Small blocks, and scores that doubles might round, are scored exactly at once.
-        if many > 4 * k and highest and int(np.abs(q).sum()) * self.peak < 1 << 53:
-            score, met = np.zeros(many), np.zeros(many, np.int64)
-            done, least, bar = np.zeros(width, np.int64), max(1, highest // 64), None
+        # A sum holds a score and, in units of `unit`, how many postings gave it. Small blocks, and sums that doubles might
+        # round, are scored exactly at once.
+        unit = float(1 << (int(np.abs(q).sum()) * self.peak + 1).bit_length())
+        if many > 4 * k and highest and unit * (width + 1) < 1 << 53:
+            sums = np.zeros(many)
+            done, least, bar = np.zeros(width, np.int64), max(1, highest // FIRST), None
             while True:
                 ends = self.ends(q, least)
                 docs, impacts = [], []
                 for d in np.flatnonzero(ends > done):
                     part = slice(many - ends[d], many - done[d]) if q[d] > 0 else slice(done[d], ends[d])
                     docs.append(self.docs[d, part])
-                    impacts.append(self.values[d, part] * float(q[d]))
+                    impacts.append(self.impacts[d, part] * float(q[d]))
                 if docs:
-                    at = np.concatenate(docs)
-                    score += np.bincount(at, np.concatenate(impacts), many)
-                    met += np.bincount(at, minlength=many)
+                    weights = np.concatenate(impacts)
+                    weights += unit
+                    sums += np.bincount(np.concatenate(docs), weights, many)
                 done = ends
-                bound = score + (width - met) * (least - 1)  # impacts that are left are whole numbers below `least`
+                met = np.floor_divide(sums, unit)
+                bound = sums - met * unit + (width - met) * (least - 1)  # impacts that are left are whole numbers below `least`
                 lead = np.argpartition(-bound, 4 * k)[: 4 * k]
                 lead = lead[lead != own] if own is not None else lead
                 reached = np.partition(self.exact(q, lead), -k)[-k]
@@ -101,7 +109,7 @@ class ImpactIndex:
 
 
 def search(
-    vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block: int = 8192, slice_rows: int = 2048
+    vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, block: int = 16384, slice_rows: int = 1024
 ) -> DataFrame:
     """For each row for which `queries` holds, the `k` other rows of highest score: query_id, rank (from 1), id, score.
 
