@@ -576,6 +576,26 @@ def aie_round_trip(spark, sf_dir):
     return whole.groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("names"))
 
 
+def aie_large(spark, sf_dir):
+    """Instance texts written in order as files, read again by lines in chunks: lines and atoms of each kind."""
+    path = f"{tables.shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    instance_text.write_texts(instance_text.text_lines(extraction.load_types(_extraction(spark, sf_dir))), path)
+    found = instance_text.lines_in_chunks(instance_text.read_lines(spark, path))
+    kept = found.filter(F.col("kind").isin("atom", "relation")).withColumn("name", F.coalesce(F.when(F.col("kind") == "relation", F.substring_index("line", "[", 1)), F.regexp_extract("atom", "^[A-Za-z]+", 0)))
+    return kept.groupBy("repo", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def report_in_lines(spark, sf_dir):
+    """Reports of all rules of the checker written line by line and read again: result and violations of each repository."""
+    path = f"{tables.shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    sinks.write_report_lines(sinks.report_lines(*_reported(spark, sf_dir)), path)
+    lines = spark.read.text(path)
+    result = F.regexp_extract("value", r'^\{"result":"(\w+)"', 1)
+    violation = F.from_json(F.regexp_replace("value", "^,", ""), "invariantName string, description string")
+    each = lines.select(F.col("repo").cast("string").alias("repo"), F.nullif(result, F.lit("")).alias("result"), violation.alias("v"))
+    return each.groupBy("repo").agg(F.max("result").alias("result"), F.count("v.description").alias("n_violations"), F.count_distinct("v.invariantName").alias("n_invariants"))
+
+
 def _static_report(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     m = bridge.instance(spark, sf_dir, keep=True)
     return rules.violations(m, ["chk_static_abstract", "chk_cycle", "chk_duplicate_names"]), m.classifier.select("repo").distinct()
@@ -694,7 +714,7 @@ NAMED = [
     distinct_repos, queue_dedup, queue_merge, queue_merge_stats, latest_status, queue_ready, status_timeline, language_vote, file_filter, fingerprint, combined_report, invariant_lookup, existing_state, extract_py,
     all_violations, extract_py_members, dedup_types, type_count, sort_types, extraction_json, rel_local_methods, rel_local_attributes, param_signature, aie_render, aie_round_trip,
     report_json, result_csv, results_for_repo, summary_txt, error_verdict, compat_first_id, compat_first_cycle, catalog_filters, catalog_selected, catalog_scan, catalog_page_count,
-    source_roots, url_list, progress_percent, date_parse, cache_diff, incremental_report, violation_cube, extract_java, extract_cpp,
+    source_roots, url_list, progress_percent, date_parse, cache_diff, incremental_report, violation_cube, extract_java, extract_cpp, aie_large, report_in_lines,
 ]
 
 
