@@ -43,6 +43,27 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a file or folder, a file also over another one, at once where the store can."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    _, at = _file_system(spark, old)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(at), context.makeQualified(jvm.org.apache.hadoop.fs.Path(new)), options)
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file of this content, instead of any before it: readers see the old or the new one."""
+    fs, at = _file_system(spark, f"{path}-{uuid.uuid4().hex}")
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    rename(spark, at.toString(), path)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes every table that this application has written here, once the results read from them are stored."""
     delete(spark, shared_dir(spark))

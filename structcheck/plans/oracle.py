@@ -170,6 +170,7 @@ WANTED = "contains(lower(name), 'a') AND license IN ('Brand#11', 'Brand#12', 'Br
 URL = r"^(?i:https)://([A-Za-z0-9.-]+)(?::443)?/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?i:\.git)?/?$"
 
 ON_INSTANCE = CHECKS | {
+    "committed_report": f", {FOUND}, {ROWS} SELECT repository, result, constraint_name, count(*) AS n, min(description) AS first_description FROM rr GROUP BY ALL",
     "aie_large": METHODS + """ SELECT repo, 'atom' AS kind, name, count(*) AS n FROM (SELECT repo, 'Classifier' AS name FROM cls UNION ALL SELECT repo, 'Method' FROM x WHERE ln <> 2
             UNION ALL SELECT repo, 'Attribute' FROM att UNION ALL SELECT repo, 'MethodBody' FROM xm) GROUP BY ALL
         UNION ALL SELECT repo, 'relation', name, count(*) FROM (SELECT repo, 'parents' AS name FROM fp UNION ALL SELECT repo, unnest(['implementer', 'target', 'body']) FROM xm
@@ -271,7 +272,7 @@ PLAIN = {
     "queue_merge": f"WITH {CATALOG}, k AS (SELECT lower(name || '/' || (id % 97)) AS key, stars FROM cat) SELECT DISTINCT key FROM k WHERE stars <= 25 AND key NOT IN (SELECT key FROM k WHERE stars > 25)",
     "queue_merge_stats": f"WITH {CATALOG}, k AS (SELECT lower(name || '/' || (id % 97)) AS key, stars FROM cat) SELECT count(*) FILTER (h IS NULL) AS added, count(*) FILTER (h IS NOT NULL) AS duplicate FROM (SELECT key FROM k WHERE stars <= 25) LEFT JOIN (SELECT key, 1 AS h FROM k WHERE stars > 25 GROUP BY 1) USING (key)",
     "latest_status": "SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
-    "queue_ready": "SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type = 'purchase'",
+    "queue_ready": "SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type = 'purchase' AND user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)",
     "status_timeline": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
     "language_vote": f"SELECT source, total, CPP, PYTHON, JAVA, CASE WHEN CPP * 2 >= total THEN 'CPP' WHEN PYTHON * 2 >= total THEN 'PYTHON' ELSE 'JAVA' END AS language FROM (SELECT source, count(*) AS total, count(*) FILTER (l = 'CPP') AS CPP, count(*) FILTER (l = 'PYTHON') AS PYTHON, count(*) FILTER (l = 'JAVA') AS JAVA FROM (SELECT source, {LANGUAGE} AS l FROM documents) GROUP BY 1)",
     "file_filter": "SELECT page_id FROM pages WHERE NOT list_has_any(string_split(url, '/'), ['build', 'target', 'node_modules', 'en'])",

@@ -311,7 +311,23 @@ def latest_status(spark, sf_dir):
 
 
 def queue_ready(spark, sf_dir):
-    return latest_status(spark, sf_dir).filter("status = 'purchase'")
+    """Items that completed and whose output is there."""
+    c = _table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0")
+    outputs = listing.existing(c.select(F.concat(F.lit("out/"), F.col("c_custkey").cast("string"), F.lit("/extraction.json")).alias("path")))
+    items = latest_status(spark, sf_dir).withColumnRenamed("user_id", "item")
+    return progress.ready(items, outputs, "purchase").select(F.col("item").alias("user_id"), "status")
+
+
+def committed_report(spark, sf_dir):
+    """Reports written in one transaction, again with the same key and replaced by another, and read."""
+    path = f"{tables.shared_dir(spark)}/committed-{uuid.uuid4().hex}"
+    found, repos = _reported(spark, sf_dir)
+    rows = tables.written(sinks.result_rows(found, repos), "rows")
+    sinks.write_once(rows.filter("result = 'SAT'"), path, "first")
+    sinks.write_once(rows.limit(0), path, "first")
+    sinks.write_once(rows, path, "second", existing="replace")
+    read = sinks.read_once(spark, path, "repository string, result string, constraint_name string, line int, description string")
+    return read.groupBy("repository", "result", "constraint_name").agg(F.count(F.lit(1)).alias("n"), F.min("description").alias("first_description"))
 
 
 def status_timeline(spark, sf_dir):
@@ -714,7 +730,7 @@ NAMED = [
     distinct_repos, queue_dedup, queue_merge, queue_merge_stats, latest_status, queue_ready, status_timeline, language_vote, file_filter, fingerprint, combined_report, invariant_lookup, existing_state, extract_py,
     all_violations, extract_py_members, dedup_types, type_count, sort_types, extraction_json, rel_local_methods, rel_local_attributes, param_signature, aie_render, aie_round_trip,
     report_json, result_csv, results_for_repo, summary_txt, error_verdict, compat_first_id, compat_first_cycle, catalog_filters, catalog_selected, catalog_scan, catalog_page_count,
-    source_roots, url_list, progress_percent, date_parse, cache_diff, incremental_report, violation_cube, extract_java, extract_cpp, aie_large, report_in_lines,
+    source_roots, url_list, progress_percent, date_parse, cache_diff, incremental_report, violation_cube, extract_java, extract_cpp, aie_large, report_in_lines, committed_report,
 ]
 
 
