@@ -170,9 +170,11 @@ WANTED = "contains(lower(name), 'a') AND license IN ('Brand#11', 'Brand#12', 'Br
 URL = r"^(?i:https)://([A-Za-z0-9.-]+)(?::443)?/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?i:\.git)?/?$"
 
 ON_INSTANCE = CHECKS | {
+    "map_either_shape": METHODS + """ SELECT m.*, n_parents FROM (SELECT repo, return_type, param_types, is_inheritable, scope, is_abstract, count(*) AS n, min('Method' || n) AS first FROM x WHERE ln <> 2 GROUP BY ALL) m
+        LEFT JOIN (SELECT repo, count(*) AS n_parents FROM fp GROUP BY 1) u ON u.repo = m.repo""",
     "committed_report": f", {FOUND}, {ROWS} SELECT repository, result, constraint_name, count(*) AS n, min(description) AS first_description FROM rr GROUP BY ALL",
     "aie_large": METHODS + """ SELECT repo, 'atom' AS kind, name, count(*) AS n FROM (SELECT repo, 'Classifier' AS name FROM cls UNION ALL SELECT repo, 'Method' FROM x WHERE ln <> 2
-            UNION ALL SELECT repo, 'Attribute' FROM att UNION ALL SELECT repo, 'MethodBody' FROM xm) GROUP BY ALL
+            UNION ALL SELECT repo, 'Attribute' FROM att UNION ALL SELECT repo, 'MethodBody' FROM xm UNION ALL SELECT DISTINCT repo, unnest(['bodies', 'bindings']) FROM cls) GROUP BY ALL
         UNION ALL SELECT repo, 'relation', name, count(*) FROM (SELECT repo, 'parents' AS name FROM fp UNION ALL SELECT repo, unnest(['implementer', 'target', 'body']) FROM xm
             UNION ALL SELECT repo, 'localMethods' FROM (SELECT DISTINCT repo, cls FROM met) UNION ALL SELECT repo, 'localAttributes' FROM (SELECT DISTINCT repo, cls FROM att)) GROUP BY ALL""",
     "report_in_lines": f", {FOUND} SELECT r.repo, CASE WHEN n > 0 THEN 'UNSAT' ELSE 'SAT' END AS result, coalesce(n, 0) AS n_violations, coalesce(d, 0) AS n_invariants FROM {REPOS} r LEFT JOIN (SELECT repo, count(*) AS n, count(DISTINCT invariant) AS d FROM v GROUP BY 1) USING (repo)",

@@ -210,6 +210,31 @@ def load_types(spark, sf_dir):
     return t.select("repo", F.col("tpos").cast("long").alias("tpos"), "qualifiedName", "superClass", F.size("fields").cast("long").alias("n_fields"), F.coalesce(F.size("executables"), F.lit(0)).cast("long").alias("n_executables"))
 
 
+def _older_shape(documents: DataFrame) -> DataFrame:
+    """The documents of repositories with an even number in the older shape, flags as booleans."""
+    t = F.from_json("value", extraction.SCHEMA)
+    flag = lambda c: c == "true"
+
+    def older(t):
+        q = t["qualifiedName"]
+        package, name = F.regexp_extract(q, r"^(.*)\.", 1), F.substring_index(q, ".", -1)
+        fields = F.transform(t["fields"], lambda f: F.struct(f["name"].alias("name"), f["type"].alias("type"), f["visibility"].alias("visibility"), flag(f["staticField"]).alias("static")))
+        methods = F.transform(t["executables"], lambda e: F.struct(e["name"].alias("name"), e["returnType"].alias("returnType"), e["visibility"].alias("visibility"), flag(e["constructor"]).alias("constructor"), flag(e["staticExecutable"]).alias("static"), flag(e["abstractExecutable"]).alias("abstract"), e["parameters"].alias("parameters")))
+        return F.struct(name.alias("name"), package.alias("package"), F.coalesce(t["superClass"], F.lit("java.lang.Object")).alias("superclass"), flag(t["abstractType"]).alias("abstract"), fields.alias("fields"), methods.alias("methods"))
+
+    made = documents.withColumn("types", t["types"])
+    again = F.to_json(F.struct(F.lit("spoon").alias("projectName"), F.transform("types", older).alias("types")))
+    return made.select("repo", F.when(F.substring("repo", -1, 1).isin(*"02468"), again).otherwise(F.col("value")).alias("value"))
+
+
+def map_either_shape(spark, sf_dir):
+    """Methods and parents of documents of which some have the older shape, read as variants: as those of the present one."""
+    types = extraction.load_types(_older_shape(_extraction(spark, sf_dir)), either=True)
+    up = extraction.parents(types).groupBy("repo").agg(F.count(F.lit(1)).alias("n_parents"))
+    met = extraction.methods(types).groupBy("repo", "return_type", "param_types", "is_inheritable", "scope", "is_abstract").agg(F.count(F.lit(1)).alias("n"), F.min("method").alias("first"))
+    return met.join(up, "repo", "left").select("repo", "return_type", "param_types", "is_inheritable", "scope", "is_abstract", "n", "first", "n_parents")
+
+
 def map_classifier(spark, sf_dir):
     return extraction.classifiers(extraction.load_types(_extraction(spark, sf_dir))).select("repo", "cls", "cid", "name", "is_abstract")
 
@@ -730,7 +755,7 @@ NAMED = [
     distinct_repos, queue_dedup, queue_merge, queue_merge_stats, latest_status, queue_ready, status_timeline, language_vote, file_filter, fingerprint, combined_report, invariant_lookup, existing_state, extract_py,
     all_violations, extract_py_members, dedup_types, type_count, sort_types, extraction_json, rel_local_methods, rel_local_attributes, param_signature, aie_render, aie_round_trip,
     report_json, result_csv, results_for_repo, summary_txt, error_verdict, compat_first_id, compat_first_cycle, catalog_filters, catalog_selected, catalog_scan, catalog_page_count,
-    source_roots, url_list, progress_percent, date_parse, cache_diff, incremental_report, violation_cube, extract_java, extract_cpp, aie_large, report_in_lines, committed_report,
+    source_roots, url_list, progress_percent, date_parse, cache_diff, incremental_report, violation_cube, extract_java, extract_cpp, aie_large, report_in_lines, committed_report, map_either_shape,
 ]
 
 

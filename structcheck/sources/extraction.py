@@ -48,8 +48,51 @@ def _parsed(documents: DataFrame) -> DataFrame:
     return documents.select("repo", F.from_json("value", SCHEMA).alias("d"))
 
 
-def load_types(documents: DataFrame) -> DataFrame:
+#: The older names of members, and a superclass that is none.
+OLDER = {"superClass": "superclass", "abstractType": "abstract", "finalType": "final", "executables": "methods", "staticField": "static", "finalField": "final", "staticExecutable": "static", "abstractExecutable": "abstract"}
+NO_SUPERCLASS = "java.lang.Object"
+
+
+def _member(v: Column, name: str, kind: str = "string") -> Column:
+    """A member of an object by its name, or by its older one; null where it is missing or of another kind."""
+    found = F.try_variant_get(v, f"$.{name}", kind)
+    return F.coalesce(found, F.try_variant_get(v, f"$.{OLDER[name]}", kind)) if name in OLDER else found
+
+
+def _listed(v: Column, name: str, body) -> Column:
+    return F.transform(_member(v, name, "array<variant>"), body)
+
+
+def any_shape(documents: DataFrame) -> DataFrame:
+    """`documents` (repo, value) of either shape, in the present one: (repo, d), d.types an array of TYPE.
+
+    Documents are read as variants, so one reader takes both: an older one names a type by ``name`` and ``package``, its
+    superclass, flags and methods by other members, and says ``java.lang.Object`` where there is no superclass. Flags may
+    be quoted. A source file is the position up to its colon. What is no JSON has no types.
+    """
+    def field(f: Column) -> Column:
+        return F.struct(*[_member(f, n).alias(n) for n in ("name", "type", "visibility", "staticField", "finalField")])
+
+    def executable(e: Column) -> Column:
+        names = ("name", "returnType", "visibility", "constructor", "staticExecutable", "abstractExecutable")
+        return F.struct(*[_member(e, n).alias(n) for n in names], _listed(e, "parameters", lambda p: F.struct(_member(p, "name").alias("name"), _member(p, "type").alias("type"))).alias("parameters"))
+
+    def type_(t: Column) -> Column:
+        older = F.concat_ws(".", F.nullif(_member(t, "package"), F.lit("")), _member(t, "name"))
+        return F.struct(
+            F.coalesce(_member(t, "qualifiedName"), F.nullif(older, F.lit(""))).alias("qualifiedName"), F.coalesce(_member(t, "simpleName"), _member(t, "name")).alias("simpleName"), _member(t, "kind").alias("kind"),
+            F.nullif(_member(t, "superClass"), F.lit(NO_SUPERCLASS)).alias("superClass"), _member(t, "interfaces", "array<string>").alias("interfaces"), _listed(t, "fields", field).alias("fields"), _listed(t, "executables", executable).alias("executables"),
+            _member(t, "abstractType").alias("abstractType"), _member(t, "finalType").alias("finalType"), F.coalesce(_member(t, "sourceFile"), F.substring_index(_member(t, "sourcePosition"), ":", 1)).alias("sourceFile"),
+        )
+
+    parsed = documents.select("repo", F.try_parse_json("value").alias("v"))
+    whole = F.struct(_member(F.col("v"), "schemaVersion").alias("schemaVersion"), _listed(F.col("v"), "types", type_).alias("types"))
+    return parsed.select("repo", whole.cast(f"struct<schemaVersion:string,types:array<{TYPE}>>").alias("d"))
+
+
+def load_types(documents: DataFrame, either: bool = False) -> DataFrame:
     """`documents` (repo, value): repo, tpos, the numbers of members before the type in its document, and its fields.
+    With `either`, documents may have the older shape as well, see `any_shape`.
 
     The numbers are method_base (executables), field_base and body_base (executables with a body); they are summed within
     the document. A document that is no JSON or has no types gives none.
@@ -67,7 +110,7 @@ def load_types(documents: DataFrame) -> DataFrame:
 
         return let(sums, row)
 
-    rows = _parsed(documents).filter(F.size("d.types") > 0).select("repo", F.posexplode(let(F.col("d.types"), numbered)).alias("tpos", "x"))
+    rows = (any_shape if either else _parsed)(documents).filter(F.size("d.types") > 0).select("repo", F.posexplode(let(F.col("d.types"), numbered)).alias("tpos", "x"))
     return rows.select("repo", "tpos", F.col("x.e").alias("method_base"), F.col("x.f").alias("field_base"), F.col("x.b").alias("body_base"), "x.t.*")
 
 
