@@ -169,7 +169,21 @@ CATALOG = "cat AS (SELECT p_partkey AS id, p_name AS name, p_type AS language, p
 WANTED = "contains(lower(name), 'a') AND license IN ('Brand#11', 'Brand#12', 'Brand#23') AND stars >= 10 AND stars <= 45"
 URL = r"^(?i:https)://([A-Za-z0-9.-]+)(?::443)?/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?i:\.git)?/?$"
 
+#: The violations of each constraint of the specification: the rows of a rule, some of them, or their distinct subjects.
+CONSTRAINTS = {
+    "UniqueCids": "SELECT repo FROM cls GROUP BY repo, cid HAVING count(*) > 1", "UniqueMids": "SELECT repo FROM met GROUP BY repo, mid HAVING count(*) > 1", "UniqueAids": "SELECT repo FROM att GROUP BY repo, aid HAVING count(*) > 1",
+    "UniqueOids": CHECKS["spec_unique_oids"], "ExclusiveMethodOwner": f"SELECT * FROM ({CHECKS['spec_owner_count']}) WHERE description LIKE 'Method %'", "ExclusiveAttributeOwner": f"SELECT * FROM ({CHECKS['spec_owner_count']}) WHERE description LIKE 'Attribute %'",
+    "AcyclicGeneralization": CHECKS["chk_cycle"], "InheritedMethodView": CHECKS["spec_inherited_methods"], "InheritedAttributeView": CHECKS["spec_inherited_attributes"],
+    "DisjointMethods": f"SELECT * FROM ({CHECKS['chk_local_inherited_disjoint']}) WHERE description LIKE 'Method %'", "DisjointAttributes": f"SELECT * FROM ({CHECKS['chk_local_inherited_disjoint']}) WHERE description LIKE 'Attribute %'",
+    "LocalMethodNamespace": CHECKS["spec_local_namespace"], "LocalAttributeNamespace": CHECKS["chk_local_attr_namespace"], "InheritedMethodNoConflict": CHECKS["spec_inherited_method_conflict"], "InheritedAttributeNoConflict": CHECKS["chk_inherited_attr_conflict"],
+    "BindingTargetValid": CHECKS["chk_binding_target"], "NoOrphanBodies": CHECKS["spec_body_count"], "SingleBinding": CHECKS["chk_multiple_bindings"],
+    "AbstractNoLocal": "SELECT DISTINCT lm.repo, lm.cls, lm.method FROM lm JOIN met m ON m.repo = lm.repo AND m.method = lm.method AND m.is_abstract = 'Yes' JOIN bin b ON b.repo = lm.repo AND b.implementer = lm.cls AND b.target = lm.method",
+    "NonAbstractHasBinding": CHECKS["spec_binding_count"], "UnresolvedImpliesAbstract": f"SELECT DISTINCT repo, regexp_extract(description, 'classifier (\\S+) has', 1) AS cls FROM ({CHECKS['spec_unresolved']})", "NonAbstractHasNoUnresolved": CHECKS["spec_unresolved"],
+    "AbstractNoDirectInstances": CHECKS["spec_abstract_instances"], "ObjectsInOneClass": CHECKS["spec_object_classes"], "StaticNotAbstract": CHECKS["chk_static_abstract"], "OverrideReturnEquality": CHECKS["spec_override_return"], "OverrideAbstractOrImplemented": CHECKS["spec_override_implemented"],
+}
+
 ON_INSTANCE = CHECKS | {
+    "spec_invariants": " UNION ALL ".join(f"SELECT repo, '{n}' AS invariant, count(*) AS n FROM ({q}) GROUP BY repo" for n, q in CONSTRAINTS.items()),
     "map_either_shape": METHODS + """ SELECT m.*, n_parents FROM (SELECT repo, return_type, param_types, is_inheritable, scope, is_abstract, count(*) AS n, min('Method' || n) AS first FROM x WHERE ln <> 2 GROUP BY ALL) m
         LEFT JOIN (SELECT repo, count(*) AS n_parents FROM fp GROUP BY 1) u ON u.repo = m.repo""",
     "committed_report": f", {FOUND}, {ROWS} SELECT repository, result, constraint_name, count(*) AS n, min(description) AS first_description FROM rr GROUP BY ALL",

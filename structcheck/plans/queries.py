@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from structcheck.functions import numbers, tables, text
-from structcheck.operators import cache, catalog, closure, inherit, rules, spec_lines
+from structcheck.operators import cache, catalog, closure, inherit, relations, rules, spec_lines
 from structcheck.sources import catalog_pages, declarations, extraction, instance_text, listing, python_source, sinks
 from structcheck.streaming import progress
 
@@ -86,6 +86,12 @@ def whole_dead(spark, sf_dir):
     return _dead(spark, _reported(spark, sf_dir, None)[0], None)
 
 
+def spec_invariants(spark, sf_dir):
+    """The violations of the specification's 27 constraints, stated as relational expressions, by repository."""
+    found = relations.violations(bridge.instance(spark, sf_dir, keep=True))
+    return found.groupBy("repo", "invariant").agg(F.count(F.lit(1)).alias("n"))
+
+
 def all_violations(spark, sf_dir):
     """The report of the checker: every violation of every rule."""
     return _reported(spark, sf_dir)[0]
@@ -755,7 +761,7 @@ NAMED = [
     distinct_repos, queue_dedup, queue_merge, queue_merge_stats, latest_status, queue_ready, status_timeline, language_vote, file_filter, fingerprint, combined_report, invariant_lookup, existing_state, extract_py,
     all_violations, extract_py_members, dedup_types, type_count, sort_types, extraction_json, rel_local_methods, rel_local_attributes, param_signature, aie_render, aie_round_trip,
     report_json, result_csv, results_for_repo, summary_txt, error_verdict, compat_first_id, compat_first_cycle, catalog_filters, catalog_selected, catalog_scan, catalog_page_count,
-    source_roots, url_list, progress_percent, date_parse, cache_diff, incremental_report, violation_cube, extract_java, extract_cpp, aie_large, report_in_lines, committed_report, map_either_shape,
+    source_roots, url_list, progress_percent, date_parse, cache_diff, incremental_report, violation_cube, extract_java, extract_cpp, aie_large, report_in_lines, committed_report, map_either_shape, spec_invariants,
 ]
 
 
