@@ -4,9 +4,9 @@ A page is cut into blocks of text at every tag that is not inline. A block has a
 share of its words inside links), those of the block before and after it, and what its surroundings say: whether a
 landmark such as ``nav`` or ``footer`` encloses it, whether an enclosing class, id or role is a name of boilerplate (2
 for names that mean nothing else, such as comments, 1 for those that an article may have too, such as tags), whether an
-``article`` or ``main`` encloses it, and whether it is a heading. The tree is grown from the labelled blocks of PAGES, a
-small table of page layouts, when the operator is called; it decides which blocks are the article, but those of an
-``article`` or ``main`` that no landmark or name encloses always are.
+``article`` or ``main`` encloses it, all three in one number, its place, and whether it is a heading. The tree is grown
+from the labelled blocks of PAGES, a small table of page layouts, when the operator is called; it alone decides which
+blocks are the article.
 """
 
 from __future__ import annotations
@@ -43,11 +43,13 @@ NAMES = frozenset(
     " dialog disclaimer disqus footer form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion replies"
     " reply respond sidebar signup skip sponsor sponsored subscribe subscription".split()
 )
-WEAK_NAMES = frozenset("rail recommended related search share sharing social tag tags teaser toolbar".split())
+WEAK_NAMES = frozenset("author bio byline more rail recommended related search share sharing social tag tags teaser toolbar".split())
 LAYOUT = frozenset(
-    "area article bar block blog body bottom box col column container content desktop entry group inner item items left link links list main mobile outer page panel post reader"
+    "area article bar block blog body bottom box col column container content desktop entry group inner item items left link links list main mobile outer page panel post read reader"
     " right row section site slot small story text title top unit user widget wrap wrapper".split()
 )
+#: A header that is named after one of these is that of the article.
+OWN_HEADER = frozenset("article blog content entry news post story text title".split())
 ARTICLE = frozenset({"article", "main"})
 
 
@@ -73,14 +75,19 @@ def _named(attrs: str, in_article: bool) -> int:
     for token in " ".join(found.get(k, "") for k in ("class", "id", "role")).split():
         words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if len(w) > 1}
         rest = words - LAYOUT
-        if rest and rest <= NAMES | WEAK_NAMES | ({"header"} if not in_article else set()):
+        if rest and rest <= NAMES | WEAK_NAMES | ({"header"} if not in_article and not words & OWN_HEADER else set()):
             level = max(level, 1 if rest <= WEAK_NAMES else 2)
     return level
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order. Markup, comments, scripts, styles and drawings are dropped; references are decoded."""
+    """The text blocks of a page in order. Markup, comments, scripts, styles and drawings are dropped; references are decoded.
+
+    A closing tag without an open one is passed over; how many are open is counted by name, so that the time of a page is
+    in proportion to its length.
+    """
     out: list[Block] = []
+    opened: dict[str, int] = {}
     stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # name, landmark, named, article
     text: list[str] = []
     linked: list[str] = []
@@ -88,16 +95,17 @@ def blocks(page: str) -> list[Block]:
 
     def flush() -> None:
         if text:
-            whole = " ".join(entities.unescape("".join(text)).split())
+            whole = " ".join("".join(text).split())
             if whole:
                 n = whole.count(" ") + 1
-                in_a = len(entities.unescape(" ".join(linked)).split())
+                in_a = len(" ".join(linked).split())
                 out.append(Block(whole, n, min(1.0, in_a / n), *stack[-1][1:], heading))
             text.clear()
             linked.clear()
 
     def add(piece: str) -> None:
         if piece:
+            piece = entities.unescape(piece) if "&" in piece else piece
             text.append(piece)
             if in_link:
                 linked.append(piece)
@@ -124,9 +132,10 @@ def blocks(page: str) -> list[Block]:
         if name not in CONTAINERS and name != "head":
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            while opened.get(name):
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
                     break
             in_link = 0
         elif not m[4].endswith("/"):
@@ -136,18 +145,24 @@ def blocks(page: str) -> list[Block]:
             if m[4] and name not in ("html", "body"):
                 named = max(named, _named(m[4], bool(article)))
             stack.append((name, int(landmark), int(named), int(article)))
+            opened[name] = opened.get(name, 0) + 1
     add(page[at:])
     flush()
     return out
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "landmark", "named", "article", "heading")
+FEATURES = ("place", "words", "links", "words_before", "links_before", "words_after", "links_after", "landmark", "named", "article", "heading")
+
+
+def place(b: Block) -> int:
+    """0 within a landmark or a strong name, 2 within an article without any name, else 1."""
+    return 0 if b.landmark or b.named == 2 else 2 if b.article and not b.named else 1
 
 
 def features(found: list[Block]) -> list[tuple]:
     edge = (0, 0.0)
     size = [edge, *((b.words, b.links) for b in found), edge]
-    return [(b.words, b.links, *size[i], *size[i + 2], b.landmark, b.named, b.article, b.heading) for i, b in enumerate(found)]
+    return [(place(b), b.words, b.links, *size[i], *size[i + 2], b.landmark, b.named, b.article, b.heading) for i, b in enumerate(found)]
 
 
 #: Labelled blocks in their pages: {label:words} is a block of so many words, {label:words/linked} has so many in links.
@@ -168,6 +183,16 @@ PAGES = [
     "<div class=related><p>{1:60}</p><p>{1:60}</p></div>", "<div class=share><p>{1:75}</p><p>{1:38}</p><p>{1:50}</p></div><div class=social>{0:4/4}</div>",
     "<div class='tags story'><h1>{1:7}</h1><p>{1:60}</p><p>{1:58}</p></div><div class=tags>{0:3/3}</div>", "<div class=search>{0:2}</div><div><p>{1:95}</p><p>{1:40}</p></div><div class=toolbar>{0:5}</div>",
     "<div class=recommended><ul><li>{0:9/9}</li><li>{0:7/7}</li><li>{0:11/11}</li></ul></div><div class=teaser>{0:12/5}</div><div><p>{1:130}</p></div>",
+    "<article><h1>{1:6}</h1><p>{1:80}</p><div class=author-bio>{0:5}</div><div class=read-more>{0:3/3}</div></article>", "<article><p>{1:44}</p><p>{1:90}</p><div class=author-bio><p>{0:38/2}</p></div></article><div class=more>{0:6/6}</div>",
+    "<main><p>{1:150}</p><div class=byline>{0:2}</div><p>{1:33}</p><div class=social>{0:2/2}</div><div class=related><p>{0:26/8}</p></div></main>",
+    # an article of short and linked blocks, and long texts round it
+    "<article><h1>{1:1}</h1><p>{1:1}</p><p>{1:2}</p><p>{1:1/1}</p><ul><li>{1:5/5}</li><li>{1:2/2}</li><li>{1:9/9}</li><li>{1:1/1}</li></ul><p>{1:3/2}</p><p>{1:1}</p></article><footer><p>{0:60}</p><p>{0:90}</p></footer>",
+    "<main><table><tr><td>{1:1/1}</td><td>{1:2}</td><td>{1:3/3}</td><td>{1:1}</td></tr><tr><td>{1:4/4}</td><td>{1:1}</td><td>{1:7/7}</td><td>{1:2}</td></tr></table><p>{1:30/25}</p><p>{1:14/14}</p></main><section class=comments><p>{0:150}</p><p>{0:33}</p><p>{0:41}</p><p>{0:70}</p></section>",
+    "<aside><p>{0:130}</p><p>{0:75}</p></aside><article><p>{1:2/2}</p><h2>{1:2/2}</h2><p>{1:6/4}</p><ul><li>{1:8/8}</li><li>{1:20/20}</li><li>{1:3/3}</li></ul><p>{1:1}</p></article><div class=replies><p>{0:100}</p><p>{0:85}</p></div>",
+    "<main><p>{1:1}</p><p>{1:1/1}</p><p>{1:2/2}</p><p>{1:40/30}</p><p>{1:6/6}</p><p>{1:12/12}</p><p>{1:16/9}</p></main><nav><p>{0:45}</p><p>{0:80/2}</p></nav><div class=disclaimer><p>{0:110}</p><p>{0:65}</p></div>",
+    # headings and bylines of a page without an element for the article
+    "<div class=entry><h2>{1:2}</h2><p>{1:60}</p></div>", "<h1>{1:2}</h1><p>{1:3}</p><p>{1:58}</p><p>{1:41}</p>", "<div class=post-header><h1>{1:4}</h1></div><div class=post><p>{1:70}</p><h2>{1:1}</h2><p>{1:52}</p></div>",
+    "<div>{0:2/2}</div><div>{0:3/3}</div><div><h1>{1:1}</h1><p>{1:90}</p><h3>{1:3}</h3><p>{1:25}</p></div><div>{0:4/4}</div>", "<h3>{0:2}</h3><ul><li>{0:2/2}</li><li>{0:4/4}</li></ul><h1>{1:3}</h1><p>{1:64}</p>",
     # pages without an element for the article: running text and its headings against scraps and lists of links
     "<div>{0:2/2}</div><div>{0:3/3}</div><div>{0:1/1}</div><h1>{1:9}</h1><p>{1:70}</p><p>{1:8}</p><p>{1:66}</p><p>{1:16}</p><p>{1:45/4}</p><div>{0:6}</div><div>{0:3/3}</div>",
     "<table><tr><td>{0:2/2}</td><td>{0:2/2}</td></tr></table><div><h2>{1:5}</h2><p>{1:50}</p><h2>{1:6}</h2><p>{1:44}</p><p>{1:28}</p></div><div>{0:4/4}</div><div>{0:2/2}</div>",
@@ -224,9 +249,8 @@ def decide(tree: tuple, row: tuple) -> int:
 
 
 def is_article(tree: tuple, row: tuple) -> int:
-    """Whether a block is of the article: in its element all are that no landmark or name encloses, elsewhere the tree decides."""
-    _, _, _, _, _, _, landmark, named, article, _ = row
-    return 1 if article and not landmark and not named else decide(tree, row)
+    """Whether a block is of the article, as the tree says."""
+    return decide(tree, row)
 
 
 def main_text(page: str | None, tree: tuple) -> str:
