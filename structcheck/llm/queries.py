@@ -111,5 +111,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: SQL for the operators that it can express.
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+OP12 = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {FINITE}),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+
+def _assign(n: int) -> str:
+    """The nearest entry of each part in round n."""
+    return f"""d{n} AS (SELECT p.vec_id, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts p JOIN b{n} b ON b.part = p.part),
+ a{n} AS (SELECT vec_id, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM d{n} GROUP BY vec_id, part)"""
+
+
+def _update(n: int) -> str:
+    return f"""s{n} AS (SELECT p.part, a.entry, i AS pos, sum(p.x[i]) AS total, count(*) AS n FROM parts p JOIN a{n} a ON a.vec_id = p.vec_id AND a.part = p.part CROSS JOIN (SELECT unnest(generate_series(1, w)) AS i FROM width) GROUP BY ALL),
+ b{n+1} AS (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN (SELECT part, entry, list(CAST(floor(CAST(total AS DOUBLE) / n) AS BIGINT) ORDER BY pos) AS x FROM s{n} GROUP BY ALL) m ON m.part = b.part AND m.entry = b.entry)"""
+
+
+OP13 = f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {FINITE}),
+ width AS (SELECT max(len(x)) // 16 AS w FROM v),
+ parts AS (SELECT vec_id, part, x[part * w + 1 : (part + 1) * w] AS x FROM v, width, (SELECT unnest(generate_series(0, 15)) AS part)),
+ seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT 64),
+ b0 AS (SELECT p.part, s.entry, p.x FROM parts p JOIN seeds s ON s.vec_id = p.vec_id),
+ {_assign(0)}, {_update(0)}, {_assign(1)}, {_update(1)}, {_assign(2)},
+ c AS (SELECT a.vec_id, v.label, string_agg(printf('%02x', a.entry), '' ORDER BY a.part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 a JOIN v ON v.vec_id = a.vec_id GROUP BY ALL),
+ h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_topk": OP12, "op13_vector_codes": OP13}
