@@ -10,6 +10,7 @@ need the closure of the parents compute it when called, unless the instance hold
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +28,7 @@ class Instance(NamedTuple):
     is_inheritable scope is_abstract. attribute: repo attribute ord aid member_name type is_inheritable scope.
     body: repo body. binding: repo binding implementer target body. parents: repo cls parent ord.
     local_methods, inherited_methods: repo cls method. local_attributes, inherited_attributes: repo cls attribute.
-    objects: repo object oid cls, if there are any. Computed by `prepared`: closure: repo cls anc, the ancestors by
+    objects: repo object oid cls, if there are any. Given by `Prepared`: closure: repo cls anc, the ancestors by
     `parents`; chain: the same by first parents; local, inherited: the tuples of methods with the methods' columns."""
 
     classifier: DataFrame
@@ -97,10 +98,18 @@ def _keyed(members: DataFrame) -> DataFrame:
     return members.withColumn("key", method_key(F.col("member_name"), F.col("param_types")))
 
 
-def prepared(m: Instance) -> Instance:
-    """`m` with what several rules read computed and written once: both closures, members joined with their methods."""
-    m = m._replace(closure=up(m), chain=first_up(m))
-    return m._replace(local=written(local_of(m), "local"), inherited=written(inherited_of(m), "inherited"))
+def _once(name: str) -> cached_property:
+    return cached_property(lambda m: written(m[Instance._fields.index(name)], name))
+
+
+class Prepared(Instance):
+    """An instance for several rules: what more than one of them reads is computed when it is first asked for, and once."""
+
+    binding, local_methods, inherited_methods, inherited_attributes = map(_once, ("binding", "local_methods", "inherited_methods", "inherited_attributes"))
+    closure = cached_property(lambda m: graph.ancestors(m.parents))
+    chain = cached_property(lambda m: graph.ancestors(graph.first_parent(m.parents)))
+    local = cached_property(lambda m: written(_keyed(m.local_methods.join(m.method, ["repo", "method"])), "local"))
+    inherited = cached_property(lambda m: written(_keyed(m.inherited_methods.join(m.method, ["repo", "method"])), "inherited"))
 
 
 def repeated(rows: DataFrame, keys: list[str], item: str, order: str = "ord") -> DataFrame:
@@ -437,7 +446,7 @@ def violations(m: Instance, names: list[str] | None = None) -> DataFrame:
 
     What several of them read is computed once; rules of objects are left out of an instance without any.
     """
-    m, out = prepared(m), None
+    m, out = Prepared(*m), None
     for r in (REGISTRY[n] for n in names or REGISTRY):
         if m.objects is None and r.name in OF_OBJECTS:
             continue

@@ -159,7 +159,6 @@ def _found(rules: dict[str, str]) -> str:
 
 FOUND, WHOLE = _found(INVARIANTS), _found(INVARIANTS | OTHER_INVARIANTS)
 REPOS = "(SELECT DISTINCT repo FROM cls)"
-FEW = _found({n: INVARIANTS[n] for n in ("chk_static_abstract", "chk_cycle", "chk_duplicate_names")})
 ROWS = f"""rr AS (SELECT r.repo AS repository, CASE WHEN description IS NULL THEN 'SAT' ELSE 'UNSAT' END AS result, coalesce(invariant, '') AS constraint_name,
     CAST(NULL AS INTEGER) AS line, coalesce(description, '') AS description FROM {REPOS} r LEFT JOIN v USING (repo))"""
 
@@ -205,8 +204,8 @@ ON_INSTANCE = CHECKS | {
     "repo_summary": f", {FOUND} SELECT r.repo, coalesce(n, 0) AS n_invariants, d AS first_description FROM (SELECT DISTINCT repo FROM cls) r LEFT JOIN (SELECT repo, count(DISTINCT invariant) AS n, min(description) AS d FROM v GROUP BY 1) USING (repo)",
     "audit_matrix": f", {FOUND} SELECT repo, string_agg(DISTINCT invariant, ',' ORDER BY invariant) AS fired FROM v GROUP BY 1",
     "audit_dead": f", {FOUND} SELECT invariant FROM (SELECT unnest({sorted({*INVARIANTS.values()})}) AS invariant) ANTI JOIN v USING (invariant)",
-    "report_read": "SELECT repo, CASE WHEN substr(repo, length(repo), 1) = '5' THEN 'ERROR' ELSE 'UNSAT' END AS result, count(*) AS n_violations FROM met WHERE scope = 'Static' AND is_abstract = 'Yes' GROUP BY repo",
-    "result_rows": f"SELECT r.repo, CASE WHEN subject IS NULL THEN 'SAT' ELSE 'UNSAT' END AS result, coalesce(subject, '[unnamed constraint]') AS subject FROM (SELECT DISTINCT repo FROM cls) r LEFT JOIN ({CHECKS['chk_duplicate_names']}) d USING (repo)",
+    "report_read": f", {FOUND} SELECT repo, CASE WHEN substr(repo, length(repo), 1) = '5' THEN 'ERROR' ELSE 'UNSAT' END AS result, count(*) AS n_violations FROM v GROUP BY repo",
+    "result_rows": f", {FOUND} SELECT r.repo, CASE WHEN subject IS NULL THEN 'SAT' ELSE 'UNSAT' END AS result, coalesce(subject, '[unnamed constraint]') AS subject, count(*) AS n FROM {REPOS} r LEFT JOIN v USING (repo) GROUP BY ALL",
     "ancestor_closure": "SELECT repo, cls, anc FROM clo",
     "first_parent": "SELECT repo, cls, parent FROM fp",
     "ancestor_chain": "SELECT repo, cls, anc FROM fclo",
@@ -231,15 +230,15 @@ ON_INSTANCE = CHECKS | {
     "aie_tuples": "SELECT repo, 'parents' AS relation, cls AS src, parent AS dst FROM par",
     "combined_report": f", {FOUND}, {ROWS} SELECT lower(repository) AS repository, result, constraint_name, line, description FROM rr",
     "all_violations": f", {FOUND} SELECT repo, invariant, check_name, subject, description FROM v",
-    "report_json": f""", {FEW} SELECT r.repo, CAST(to_json(struct_pack(result := CASE WHEN vs IS NULL THEN 'SAT' ELSE 'UNSAT' END, violations := coalesce(vs, []))) AS VARCHAR) AS value
+    "report_json": f""", {FOUND} SELECT r.repo, CAST(to_json(struct_pack(result := CASE WHEN vs IS NULL THEN 'SAT' ELSE 'UNSAT' END, violations := coalesce(vs, []))) AS VARCHAR) AS value
         FROM {REPOS} r LEFT JOIN (SELECT repo, list(struct_pack(invariantName := invariant, description := description) ORDER BY invariant, description) AS vs FROM v GROUP BY 1) USING (repo)""",
-    "result_csv": f""", {FEW}, {ROWS} SELECT repository || ',' || result || ',' || constraint_name || ',,'
+    "result_csv": f""", {FOUND}, {ROWS} SELECT repository || ',' || result || ',' || constraint_name || ',,'
         || CASE WHEN contains(description, ',') THEN '"' || replace(description, '"', '""') || '"' ELSE description END AS value FROM rr""",
-    "results_for_repo": f", {FEW}, {ROWS} SELECT repository, result, constraint_name, line, description FROM rr WHERE lower(repository) = 'brand#13'",
-    "summary_txt": f""", {FEW}, {ROWS} SELECT 0 AS part, '' AS repository, unnest(['Total entries: ' || count(*), 'SAT: ' || count(*) FILTER (result = 'SAT'), 'UNSAT (violations): ' || count(*) FILTER (result = 'UNSAT')]) AS value FROM rr
+    "results_for_repo": f", {FOUND}, {ROWS} SELECT repository, result, constraint_name, line, description FROM rr WHERE lower(repository) = 'brand#13'",
+    "summary_txt": f""", {FOUND}, {ROWS} SELECT 0 AS part, '' AS repository, unnest(['Total entries: ' || count(*), 'SAT: ' || count(*) FILTER (result = 'SAT'), 'UNSAT (violations): ' || count(*) FILTER (result = 'UNSAT')]) AS value FROM rr
         UNION ALL SELECT 1, repository, '  ' || repository || ': ' || min(result) || CASE WHEN count(*) FILTER (constraint_name <> '') > 0 THEN ' (' || count(*) FILTER (constraint_name <> '') || ' violation(s))' ELSE '' END FROM rr GROUP BY repository
         UNION ALL SELECT 2, repository, '  ' || repository || ' | ' || constraint_name || ' | ' || description FROM rr WHERE result = 'UNSAT'""",
-    "error_verdict": f""", {_found({n: INVARIANTS[n] for n in ("chk_static_abstract", "chk_cycle")})},
+    "error_verdict": f""", {FOUND},
         bad AS (SELECT DISTINCT l.repo FROM lm l JOIN met m ON m.repo = l.repo AND m.method = l.method WHERE m.ord % 10000 = 3 AND substr(l.repo, length(l.repo), 1) = '1'
             AND EXISTS (SELECT 1 FROM im i WHERE i.repo = l.repo AND i.cls = l.cls))
         SELECT r.repo, CASE WHEN bad.repo IS NOT NULL THEN 'ERROR' WHEN n > 0 THEN 'UNSAT' ELSE 'SAT' END AS result, CAST(CASE WHEN bad.repo IS NOT NULL THEN 1 ELSE coalesce(n, 0) END AS BIGINT) AS n_violations
