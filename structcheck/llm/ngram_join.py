@@ -259,7 +259,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFra
 
     given_rows = docs.select(place(id_col).alias("p"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     passed = given_rows.mapInArrow(lean(run), f"id {given_rows.schema['id'].dataType.simpleString()}, fp binary, set array<long>")
-    met = passed.join(wanted.select("node", "least", F.col("fp").alias("print")), (F.col("fp") == F.col("print")) & F.col("id").eqNullSafe(F.col("least")))
+    met = passed.join(wanted.select("node", "least", F.col("fp").alias("print")).hint("merge"), (F.col("fp") == F.col("print")) & F.col("id").eqNullSafe(F.col("least")))
     out = written(met.select("node", "set"), "sets")
     if out.count() > many:  # rows of one id and one text, each of which has passed
         once, repeated = written(out.dropDuplicates(["node"]), "sets"), out
@@ -269,6 +269,23 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFra
     return out
 
 
+def with_hits(rows: DataFrame, wanted: DataFrame, key: str, of: str, flag: str) -> DataFrame:
+    """`rows` with `flag`: whether their `key` may be among the `of` of `wanted`; never false for one that is.
+
+    A bitmap of 64 bits for each wanted one, of at most 2**28 bits, is broadcast in parts of 4 KB, so rows that are not wanted
+    stay where they are, whatever the size of either side.
+    """
+    bits = 1 << min(28, max(15, (64 * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1  # noqa: E731  positions count from 1
+    part, held = free_name(rows, "part"), free_name(rows, "bitmap")
+    parts = wanted.select(place(of).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(held))
+    met = rows.withColumn(part, F.bitmap_bucket_number(place(key))).join(F.broadcast(parts), part, "left")
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(F.col(held), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+    return met.withColumn(flag, F.coalesce(bit, F.lit(False))).drop(part, held)
+
+
 def within(a: str, b: str, percent: int):
     """The length filter, as a condition on two size columns."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -551,7 +568,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     nodes = close.select("node").distinct()
     made = sets(nodes)
     order = F.array_sort(F.collect_list(F.struct("pos", "gram")))
-    early = lists.join(nodes, "node").groupBy("node").agg(F.transform(F.slice(order, 1, EARLY), lambda x: x["gram"]).alias("early"))
+    early = lists.join(nodes.hint("merge"), "node").groupBy("node").agg(F.transform(F.slice(order, 1, EARLY), lambda x: x["gram"]).alias("early"))
     described = written(fine(made).join(early, "node"), "fine")
     grown = written(across(close.join(described, "node"), percent, "forest"), "forest")
     forest = written(grown.filter("a IS NOT NULL").select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "pairs")
@@ -609,7 +626,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     given = docs.withColumn(key, F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))))
     marks = marked.select(F.col("id").alias(ident), F.col("digest").alias(digest), "stays")
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(ident)) & (F.col(key) == F.col(digest))
-    out = given.join(marks.drop("stays"), same, "left_anti")
+    flag = free_name(docs, "hit")
+    flagged = with_hits(given, marks.select(digest), key, digest, flag)
+    maybe = flagged.filter(flag).drop(flag)
+    out = flagged.filter(~F.col(flag)).drop(flag).unionByName(maybe.join(marks.drop("stays").hint("merge"), same, "left_anti"))
     again = marks.filter("stays").drop("stays")
     if not again.isEmpty():
         out = out.unionByName(given.join(again, same, "left_semi").dropDuplicates([id_col, key]))
