@@ -80,9 +80,13 @@ def objects(spark: SparkSession, sf_dir: str, cls: DataFrame) -> DataFrame:
     return met.select("repo", F.concat(F.lit("O"), order).alias("object"), F.floor(order / 3).cast("long").cast("string").alias("oid"), "cls").distinct()
 
 
-def instance(spark: SparkSession, sf_dir: str, keep: bool = False) -> Instance:
-    """All relations; with `keep`, classes, parents, methods and attributes are written once, the others are read from them."""
-    kept = written if keep else (lambda df, _: df)
+def instance(spark: SparkSession, sf_dir: str, keep: bool | tuple[str, ...] = ()) -> Instance:
+    """All relations. With `keep`, the named ones of classifiers, parents, methods and attributes, or all four, are written
+    once and the others are read from them."""
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return written(df, name) if keep is True or keep and name in keep else df
+
     cls = kept(classifiers(spark, sf_dir), "classifiers")
     par, met, att = kept(parents(cls), "parents"), kept(methods(spark, sf_dir, cls), "methods"), kept(attributes(cls), "attributes")
     first, second = (par.filter(F.col("ord") == i).select("repo", "cls", "parent") for i in (1, 2))
