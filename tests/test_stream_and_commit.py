@@ -91,3 +91,11 @@ def test_a_transaction_is_whole_or_nothing(spark, tmp_path):
     for wrong in ({"key": "a/b"}, {"key": "a", "existing": "maybe"}):
         with pytest.raises(ValueError):
             sinks.write_once(good, path, **wrong)
+
+
+def test_rows_as_json_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, None), ("b", None, ["x"])], "name string, n int, tags array<string>")
+    sinks.write_json(rows, f"file://{tmp_path}/out")
+    assert sorted(map(tuple, spark.read.schema(rows.schema).json(f"file://{tmp_path}/out").collect())) == [("a", 1, None), ("b", None, ["x"])]
+    sinks.write_json(rows.limit(0), f"file://{tmp_path}/out", mode="ignore")
+    assert spark.read.json(f"file://{tmp_path}/out").count() == 2
