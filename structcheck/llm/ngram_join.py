@@ -563,7 +563,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     known = merged(None, links)
     discard(made)
 
-    rest = written(tiles(with_components(long, known), block, total), "tiles")
+    placed = written(with_components(long, known), "placed")
+    rest = written(tiles(placed, block, total), "tiles")
     close = written(across(rest.join(classes.select("node", "hist").hint("merge"), "node"), percent, "rows"), "close")
     nodes = close.select("node").distinct()
     made = sets(nodes)
@@ -582,7 +583,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     links = written(verified(more, made, percent), "links")
     if not links.isEmpty():
         known = merged(known, links)
-    discard(near, made, rest, close, described, grown, forest, more, lists, active)
+    discard(near, made, placed, rest, close, described, grown, forest, more, lists, active)
 
     rooted = classes.select("fp", "node").join(known, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     return base.select("id", "digest", "fp", "size").join(rooted, "fp", "left").select("id", "digest", "size", "root")

@@ -70,7 +70,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, percent=90, bits=20)
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
