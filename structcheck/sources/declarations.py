@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from structcheck.functions.arrays import let, running
-from structcheck.functions.tables import written
+from structcheck.functions.tables import dealt, written
 
 from . import other_languages
 from .python_source import first_of_name
@@ -216,6 +216,7 @@ def java_types(files: DataFrame, nested: bool = False) -> DataFrame:
     enums and records imply is added: public members, abstract methods, constants, final fields and their accessors. A null
     content has no types.
     """
+    files = dealt(files.select("repo", "path", "content"), "repo", "path")
     head = files.select("repo", "path", masked(F.col("content"), "JAVA").alias("t"))
     head = head.select("repo", "path", F.regexp_extract("t", r"(?m)^\s*package\s+([\w.]+)\s*;", 1).alias("package"), F.regexp_extract_all("t", F.lit(r"\bimport\s+([\w.]+)\s*;"), F.lit(1)).alias("imports"))
     rows = written(pieces(files, "JAVA"), "pieces")
@@ -274,6 +275,7 @@ def cpp_types(files: DataFrame, nested: bool = False) -> DataFrame:
     Methods are those with a return type: no constructors, destructors, conversions or templates; the name of an operator is
     ``operator``; one that ends in ``= 0`` is abstract, as is its type. A null content has no types.
     """
+    files = dealt(files.select("repo", "path", "content"), "repo", "path")
     rows = written(pieces(files, "CPP"), "pieces")
     scopes = _named(_scopes(rows, "CPP"), ".")
     types = scopes.filter(F.col("kind").isin("class", "struct"))

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from structcheck.functions.tables import dealt
+
 from .extraction import TYPE
 
 #: Extensions of C++ files and folders that are left out.
@@ -47,5 +49,5 @@ def extract(files: DataFrame, parser: Callable[[str], Iterable[dict]] | None) ->
             rows = [(r, p, i, json.dumps(t)) for r, p, c in b.itertuples(index=False) for i, t in enumerate(parser(c or ""))]
             yield pd.DataFrame(rows, columns=["repo", "path", "pos", "value"])
 
-    made = files.select("repo", "path", "content").mapInPandas(run, "repo string, path string, pos int, value string")
+    made = dealt(files.select("repo", "path", "content"), "repo", "path").mapInPandas(run, "repo string, path string, pos int, value string")
     return made.select("repo", "path", "pos", F.from_json("value", TYPE).alias("t")).select("repo", "path", "pos", "t.*")
