@@ -35,5 +35,7 @@ def test_repeated_tuples_and_rows(spark):
         assert got("chk_abstract_has_body") == ["g", "g", "h"]
         assert got("chk_multiple_bindings") == ["g"]
         assert got("chk_missing_binding") == ["f", "f", "f", "i"]
+        assert got("spec_override_implemented") == ["f", "i"]
+        assert sorted(r["description"] for r in rules.REGISTRY["spec_override_return"].check(m).collect()) == ["Override f (returnType int) in a differs from overridden g (returnType long)"]
         assert sorted((r["cls"], r["method"]) for r in rules.inherited_of(m).collect()) == [("a", "f")]
         assert sorted(str(r["method"]) for r in rules.local_of(m).collect()) == ["f", "f", "f", "g", "g", "h", "h", "i"]
